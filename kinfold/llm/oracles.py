@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .canon import character_map
+
 _SCORE = "CASE WHEN NOT isnan(score) AND score BETWEEN 0 AND 1 THEN score END"
 
 P2_FOUND = """
@@ -37,5 +39,38 @@ WHERE place <= 3
 """
 
 
+def _one_form(text: str) -> str:
+    """SQL for the one form of a text: the same character map, applied by translate and replace."""
+    pairs = character_map()
+    single = {chr(k): v for k, v in pairs.items() if len(v) == 1 and k != 0}
+    gone = "".join(chr(k) for k, v in pairs.items() if not v and k != 0)
+    quoted = lambda x: x.replace("'", "''")
+    out = f"translate({text}, '{''.join(single)}{gone}', '{quoted(''.join(single.values()))}')"
+    for k, v in pairs.items():
+        if len(v) > 1:
+            out = f"replace({out}, '{chr(k)}', '{v}')"
+    return f"nfc_normalize({out})"
+
+
+def _runs(table: str, key: str, text: str) -> str:
+    """Every run of 12 words of a table's texts."""
+    return f"""
+SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS run FROM (
+  SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (
+    SELECT {key}, regexp_extract_all(lower({_one_form(text)}), '[\\p{{L}}\\p{{Nd}}]+') AS w FROM {table} WHERE {text} IS NOT NULL))"""
+
+
+P8_FOUND = f"""
+WITH corpus AS ({_runs("documents", "doc_id", "text")}), tests AS ({_runs("eval_item", "item_id", "passage")})
+SELECT DISTINCT doc_id, item_id FROM corpus JOIN tests USING (run)
+"""
+
+P9_FOUND = f"""
+WITH formed AS (SELECT doc_id, text, {_one_form("text")} AS form FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM formed a JOIN formed b ON a.form = b.form
+WHERE a.doc_id < b.doc_id AND a.text <> b.text AND regexp_matches(a.form, '\\S')
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND}
+    return {"p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p8_found": P8_FOUND, "p9_found": P9_FOUND}

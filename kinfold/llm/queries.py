@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
+from .canon import look_alike_pairs
 from .components import connected_groups
 from .incremental import found_repeats
+from .leaks import leaked_items
 from .survivor import best_of_group
 from .topn import top_n_per_group
 
@@ -29,5 +31,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n_per_group(table(spark, d, "migration_manifest"), 3)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return look_alike_pairs(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p8_found, p9_found)}
