@@ -6,6 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.instants import manifest_instants
+from ..runtime import table
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return manifest_instants(table(spark, d, "migration_manifest"), table(spark, d, "takeout_sidecar"), table(spark, d, "scan_source"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p3_found": p3_found}
