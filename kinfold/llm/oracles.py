@@ -39,6 +39,17 @@ WHERE place <= 3
 """
 
 
+P6_FOUND = """
+WITH bare AS (SELECT id, regexp_extract(lower(phash), '^\\s*(?:0x)?([0-9a-f]{16})\\s*$', 1) AS x FROM migration_manifest),
+usable AS (
+  SELECT id, h FROM (SELECT id, CAST('0x' || x AS UBIGINT) AS h FROM bare WHERE x <> '') WHERE bit_count(h) BETWEEN 4 AND 60
+), near AS (
+  SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY bit_count(xor(a.h, b.h)), b.id) AS place
+  FROM usable a JOIN usable b ON a.id <> b.id AND bit_count(xor(a.h, b.h)) <= 7)
+SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM near WHERE place <= 5
+"""
+
+
 def _one_form(text: str) -> str:
     """SQL for the one form of a text: the same character map, applied by translate and replace."""
     pairs = character_map()
@@ -73,4 +84,4 @@ WHERE a.doc_id < b.doc_id AND a.text <> b.text AND regexp_matches(a.form, '\\S')
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p8_found": P8_FOUND, "p9_found": P9_FOUND}
+    return {"p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p9_found": P9_FOUND}
