@@ -12,6 +12,7 @@ from .components import connected_groups
 from .incremental import found_repeats
 from .leaks import leaked_items
 from .nearest import nearest_pairs
+from .packing import pack_documents
 from .survivor import best_of_group
 from .topn import top_n_per_group
 
@@ -36,6 +37,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return nearest_pairs(table(spark, d, "migration_manifest"))
 
 
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(table(spark, d, "documents"), table(spark, d, "token_budget"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
@@ -45,4 +50,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p6_found, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p6_found, p7_pack, p8_found, p9_found)}
