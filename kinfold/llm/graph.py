@@ -18,6 +18,7 @@ import numpy as np
 _FAR = np.int64(1) << np.int64(60)
 _SHIFT = np.int64(40)
 _ONE = np.int64(1)
+_CLOSE = 20
 _MASK = (np.int64(1) << np.int64(39)) - np.int64(1)
 
 
@@ -85,9 +86,14 @@ def _advance(g: Graph, layer: Layer, queries: np.ndarray, beam: np.ndarray, widt
     return out
 
 
-def search(g: Graph, queries: np.ndarray, width: int, upper: int = 4, down_to: int = 0) -> np.ndarray:
-    """Sorted keys (distance, node) of about `width` nearest nodes of each query hash, found by descending the layers."""
+def search(g: Graph, queries: np.ndarray, width: int, upper: int = 4, down_to: int = 0, chunk: int = 1024) -> np.ndarray:
+    """Sorted keys (distance, node) of about `width` nearest nodes of each query hash, found by descending the layers.
+
+    Queries go `chunk` at a time, so that the arrays of a step stay in the processor's cache.
+    """
     n = len(queries)
+    if n > chunk:
+        return np.concatenate([search(g, queries[i : i + chunk], width, upper, down_to, chunk) for i in range(0, n, chunk)])
     top = _keys(np.bitwise_count(g.values[g.top][None, :] ^ queries[:, None]), np.broadcast_to(g.top, (n, len(g.top))))
     beam = _merge(top, width if len(g.layers) <= down_to else upper)
     for depth in range(len(g.layers) - 1, down_to - 1, -1):
@@ -101,19 +107,16 @@ def search(g: Graph, queries: np.ndarray, width: int, upper: int = 4, down_to: i
 def _select(g: Graph, keys: np.ndarray, degree: int) -> np.ndarray:
     """Neighbours out of sorted candidate keys: those nearer to the node than to any one chosen before, then the nearest others."""
     n, m = keys.shape
-    ids = np.where(keys < _FAR, _nodes(keys), 0)
-    vals = g.values[ids]
-    dist = np.where(keys < _FAR, keys >> _SHIFT, 0).astype(np.uint8)
-    chosen = np.zeros((n, m), bool)
-    for j in range(m):
-        if j:
-            apart = np.bitwise_count(vals[:, :j] ^ vals[:, j : j + 1])
-            near = apart < dist[:, j : j + 1]
-            near &= chosen[:, :j]
-            np.logical_not(near.any(1), out=chosen[:, j])
-        else:
-            chosen[:, j] = True
-    chosen &= keys < _FAR
+    real = keys < _FAR
+    vals = np.ascontiguousarray(g.values[np.where(real, _nodes(keys), 0)].T)
+    dist = np.ascontiguousarray(np.where(real, keys >> _SHIFT, 0).astype(np.uint8).T)
+    picked = np.zeros((m, n), bool)
+    picked[0] = True
+    for j in range(1, m):
+        near = np.bitwise_count(vals[:j] ^ vals[j]) < dist[j]
+        near &= picked[:j]
+        np.logical_not(near.any(0), out=picked[j])
+    chosen = picked.T & real
     chosen &= np.cumsum(chosen, axis=1) <= degree * 2 // 3
     order = np.where(chosen, keys, keys + (np.int64(1) << np.int64(58)))
     order[keys >= _FAR] = _FAR
@@ -185,12 +188,21 @@ def build(values: np.ndarray, degree: int = 24, width: int = 32, fan: int = 16,
             q = values[nodes]
             own = np.bitwise_count(q[:, None] ^ q[None, :])
             np.fill_diagonal(own, 255)
-            k = min(12, len(nodes) - 1)
             found = []
-            if k > 0:
-                code = (own.astype(np.int64) << _SHIFT) | (nodes.astype(np.int64) << _ONE)[None, :]
-                near = np.partition(code, k - 1, axis=1)[:, :k] if len(nodes) > k else code
-                found.append(near)
+            if not at:
+                k = min(width, len(nodes) - 1)
+                if k > 0:
+                    code = (own.astype(np.int64) << _SHIFT) | (nodes.astype(np.int64) << _ONE)[None, :]
+                    found.append(np.sort(code, axis=1)[:, :k])
+            else:
+                # Nodes that arrive together meet here, if they are close; the graph has the rest.
+                r, c = np.nonzero(own <= _CLOSE)
+                if len(r):
+                    rank = np.arange(len(r)) - np.searchsorted(r, r)
+                    few = rank < width
+                    near = np.full((len(nodes), int(rank[few].max()) + 1), _FAR)
+                    near[r[few], rank[few]] = _keys(own[r[few], c[few]], nodes[c[few]])
+                    found.append(near)
             if at:
                 part = Graph(values, [layer, *reversed(layers)], g.top)
                 found.append(search(part, q, width))
