@@ -130,7 +130,9 @@ def admit(batch: DataFrame, history: History, max_rounds: int = 10_000) -> DataF
     spark, radius = history.spark, history.radius
     scratch = Scratch(spark, "admit")
     batch = scratch.keep(batch)
-    values = batch.where(F.col("ph").isNotNull()).select(F.col("ph").alias("q")).distinct()
+    # Spread before each value becomes some 40 probes: by size alone they would all go to one task.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    values = batch.where(F.col("ph").isNotNull()).select(F.col("ph").alias("q")).repartition(parts, "q").distinct()
     old = history.pivots()
     own = pivot_table(values.select(F.col("q").alias("h"), F.lit(None).cast("long").alias("id")), radius)
     pairs = scratch.keep(close_pairs(values, old.unionByName(own), radius).withColumnRenamed("id", "hid"))
