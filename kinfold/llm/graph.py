@@ -32,9 +32,13 @@ def _nodes(keys: np.ndarray) -> np.ndarray:
 
 def _merge(keys: np.ndarray, width: int) -> np.ndarray:
     """Sorted rows without repeated nodes, the expanded one of a repeat kept, cut to width."""
+    if keys.shape[1] <= width:
+        keys = np.concatenate([keys, np.full((len(keys), 1), _FAR)], axis=1)
     keys.sort(axis=1)
-    twice = (keys[:, :-1] >> _ONE) == (keys[:, 1:] >> _ONE)
-    np.putmask(keys[:, :-1], twice, _FAR)
+    # In one line, as it lies in memory: a row's last key is compared with the next row's first, but the last is cut anyway.
+    line = keys.ravel()
+    bare = line >> _ONE
+    np.putmask(line[:-1], bare[:-1] == bare[1:], _FAR)
     keys.sort(axis=1)
     return np.ascontiguousarray(keys[:, :width])
 
@@ -64,7 +68,7 @@ def _advance(g: Graph, layer: Layer, queries: np.ndarray, beam: np.ndarray, widt
     while len(live):
         open_ = (work & _ONE) == 0
         open_ &= work < _FAR
-        rank = np.cumsum(open_, axis=1)
+        rank = np.cumsum(open_, axis=1, dtype=np.int8 if open_.shape[1] < 128 else np.int64)
         pick = open_ & (rank <= wide)
         count = np.minimum(rank[:, -1], wide)
         busy = count > 0
@@ -73,14 +77,16 @@ def _advance(g: Graph, layer: Layer, queries: np.ndarray, beam: np.ndarray, widt
             live, work, q, pick, count = live[busy], work[busy], q[busy], pick[busy], count[busy]
             if not len(live):
                 break
+            rank = rank[busy]
         nodes = np.full((len(live), wide), -1, np.int64)
-        r, c = np.nonzero(pick)
-        nodes[r, rank[busy][r, c] - 1] = _nodes(work[r, c])
-        work[r, c] |= _ONE
+        flat = np.flatnonzero(pick)
+        taken = work.ravel()[flat]
+        nodes.ravel()[flat // pick.shape[1] * wide + rank.ravel()[flat] - 1] = _nodes(taken)
+        work.ravel()[flat] = taken | _ONE
         row = nodes if layer.slot is None else layer.slot[nodes]
         near = layer.neighbours[row].reshape(len(live), wide * degree)
         bad = (near < 0) | np.repeat(nodes < 0, degree, axis=1)
-        fresh = _keys(np.bitwise_count(g.values[near] ^ q[:, None]), near)
+        fresh = _keys(np.bitwise_count(g.values.take(near, mode="wrap") ^ q[:, None]), near)
         fresh[bad] = _FAR
         work = _merge(np.concatenate([work, fresh], axis=1), width)
     return out
