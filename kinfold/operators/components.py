@@ -11,9 +11,10 @@ from ..runtime import Scratch
 def components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int = 100) -> DataFrame:
     """(node, component): for every node with an edge to another, the smallest node it is connected with.
 
-    Labels start as the smallest neighbour and are lowered over the edges; after each round every label is replaced by
-    its own label, which halves the way to the smallest node, so rounds grow with the logarithm of the longest path.
-    Each round is a written table. Stops when no label changes, which is counted exactly. NULL ends and loops are no
+    Labels start as the smallest neighbour. In each round all nodes of one label take the smallest label that any of them
+    sees across an edge, or their label's own label if that is smaller: whole regions merge at once, and rounds grow with the
+    logarithm of the number of regions. What a region sees is aggregated per label before the shuffle, so a region of any
+    size is one row there. Each round is a written table. Stops when no label changes, which is counted exactly. NULL ends and loops are no
     edges; no edges give no rows; more than max_rounds rounds raise RuntimeError.
     """
     scratch = Scratch(edges.sparkSession, "graph")
@@ -22,9 +23,11 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int
     labels = scratch.keep(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("label")))
     for _ in range(max_rounds):
         around = both.join(labels.select(F.col("x").alias("y"), F.col("label").alias("l")), "y").groupBy("x").agg(F.min("l").alias("l"))
-        lowered = labels.join(around, "x").select("x", F.col("label").alias("old"), F.least("label", "l").alias("label"))
+        seen = labels.join(around, "x")
+        hook = seen.groupBy("label").agg(F.min("l").alias("low"))
         jump = labels.select(F.col("x").alias("label"), F.col("label").alias("up"))
-        after = scratch.keep(lowered.join(jump, "label").select("x", F.least("label", "up").alias("label"), (F.least("label", "up") != F.col("old")).alias("moved")))
+        new = F.least("label", "low", "up")
+        after = scratch.keep(labels.join(hook.join(jump, "label"), "label").select("x", new.alias("label"), (new != F.col("label")).alias("moved")))
         done = after.where("moved").isEmpty()
         scratch.drop(labels)
         labels = after

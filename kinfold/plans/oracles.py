@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import scan_queries
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(scan_queries.SQL)

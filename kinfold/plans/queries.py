@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.instants import manifest_instants
 from ..runtime import table
+from . import scan_queries
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -15,4 +16,4 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+    return {"p3_found": p3_found} | scan_queries.QUERIES
