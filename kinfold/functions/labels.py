@@ -38,12 +38,21 @@ def similarity_percent(distance: Column, otherwise: str = "near-dup") -> Column:
 
 
 def score_text(score: Column) -> Column:
-    """Two decimals of the binary value itself, halves to even as the value falls; a dash if NULL.
+    """Two decimals of the binary value itself (0.615 is a little below that in binary, so 0.61), halves to even; a dash if NULL.
 
-    The double is spelled out to 17 decimals first, so 0.865 (a little below it in binary) gives 0.86.
+    Between 0 and 1 the double is a whole number of 2^-62, so hundredths are compared exactly as decimals; other values are
+    rendered by their shortest digits.
     """
-    exact = F.format_string("%.17f", score).cast("decimal(30,17)")
-    return F.when(score.isNull() | F.isnan(score), "—").otherwise(F.bround(exact, 2).cast("decimal(20,2)").cast("string"))
+    unit = F.lit(1 << 62).cast("decimal(20,0)")
+    hundred = (score * float(1 << 62)).try_cast("bigint").cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
+    k = F.floor(hundred / unit).cast("decimal(3,0)")
+    k = F.when(hundred - k * unit < 0, k - 1).otherwise(k)
+    rest = (hundred - k * unit) * 2
+    up = F.when(rest > unit, 1).when(rest < unit, 0).otherwise(F.pmod(k.cast("int"), F.lit(2)))
+    cents = k.cast("int") + up
+    exact = F.format_string("%d.%02d", F.floor(cents / 100), F.pmod(cents, F.lit(100)))
+    inside = score.between(2.0**-9, 1.0)
+    return F.when(score.isNull() | F.isnan(score), "—").when(inside, exact).otherwise(F.format_string("%.2f", score))
 
 
 def resolution_text(width: Column, height: Column, times: str = "*") -> Column:

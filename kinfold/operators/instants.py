@@ -109,7 +109,9 @@ def readings(rows: DataFrame, sources: DataFrame, value: str = "value", label: s
     spoken = F.create_map(*[x for z, a, s in names for x in (F.lit(f"{z} {a}"), F.lit(s))]) if names else F.lit(None).cast("map<string,int>")
 
     trimmed = F.regexp_replace(F.lower(F.col(value)), f"^{_SPACE}+|{_SPACE}+$", "")
-    joined = rows.withColumn("src_label", F.lower(F.trim(F.col(label)))).join(declared, "src_label", "left").withColumn("v", trimmed)
+    # The caller's columns travel as one, whatever their names.
+    held = rows.select(F.struct("*").alias("_given"), F.lower(F.trim(F.col(label))).alias("src_label"), trimmed.alias("v"))
+    joined = held.join(declared, "src_label", "left")
     marks = "\u0001".join(f"${i}" for i in range(1, _PARTS + 1))
     parts = F.split(F.regexp_replace("v", _PATTERN, marks), "\u0001")
     at = joined.withColumn("number", F.col("v").rlike(r"^\d+(\.\d+)?$"))
@@ -183,7 +185,7 @@ def readings(rows: DataFrame, sources: DataFrame, value: str = "value", label: s
         .when(month_fits & F.coalesce(order != "DMY", F.lit(True)), one(month_first))
     )
     at = at.withColumn("readings", F.coalesce(found, F.from_json(F.lit("[]"), "array<struct<epoch_us:bigint,notation:int,cost:double>>")))
-    return _once(at.select(*rows.columns, "readings"))
+    return _once(at.select("_given.*", "readings"))
 
 
 # -- choosing one reading -------------------------------------------------------------------------------------

@@ -127,4 +127,4 @@ def write_audit(results: DataFrame, path: str) -> None:
     """GroupNumber, FilePath, Success (0 or 1), Reason as CSV files with a header; rows of unknown paths are group 0."""
     results.select(
         F.coalesce("group_number", F.lit(0)).alias("GroupNumber"), F.col("source_path").alias("FilePath"), F.col("success").cast("int").alias("Success"), F.col("reason").alias("Reason")
-    ).write.mode("overwrite").option("header", True).csv(path)
+    ).write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import scan_queries
+from . import review_queries, scan_queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(scan_queries.SQL)
+    return scan_queries.SQL | review_queries.SQL
