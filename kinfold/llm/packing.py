@@ -68,15 +68,15 @@ class _Stock:
         self.sums: np.ndarray | None = None
 
     def pair(self, gap: int, left: np.ndarray) -> tuple[int, int] | None:
-        """Two available lengths of that sum, of those the pair that can be taken most often."""
+        """Two available lengths of that sum, the most unlike ones: the longer of them is the harder to place."""
         if gap < 2 or gap > 2 * (len(left) - 1):
             return None
         a = np.arange(max(1, gap - len(left) + 1), gap // 2 + 1)
-        often = np.minimum(left[a], left[gap - a])
+        both = (left[a] > 0) & (left[gap - a] > 0)
         if len(a) and gap % 2 == 0:
-            often[-1] = left[a[-1]] // 2
-        best = int(often.argmax()) if len(a) else 0
-        return (int(a[best]), int(gap - a[best])) if len(a) and often[best] > 0 else None
+            both[-1] = left[a[-1]] > 1
+        best = int(both.argmax()) if len(a) else 0
+        return (int(a[best]), int(gap - a[best])) if len(a) and both[best] else None
 
     def index(self) -> np.ndarray:
         if self.sums is None:
@@ -86,14 +86,14 @@ class _Stock:
             self.sums = np.fft.irfft(spectrum * spectrum, size)[: 2 * len(there)] > 0.5
         return self.sums
 
-    def exact(self, gap: int, left: np.ndarray) -> list[int] | None:
-        """One, two or three available lengths that fill the gap exactly."""
+    def exact(self, gap: int, left: np.ndarray, most: int) -> list[int] | None:
+        """One to `most` (three at most) available lengths that fill the gap exactly."""
         top = len(left) - 1
         if gap <= top and left[gap] > 0:
             return [gap]
-        if two := self.pair(gap, left):
+        if most >= 2 and (two := self.pair(gap, left)):
             return list(two)
-        if gap < 3:
+        if most < 3 or gap < 3:
             return None
         for fresh in (False, True):
             if fresh:
@@ -116,7 +116,16 @@ class _Stock:
 def plan(counts: np.ndarray, capacity: int) -> Plan:
     """Containers for counts[n] items of n tokens each, n = 1..capacity, as patterns and how often each is used.
 
-    First exact complements: each length, longest first, with one, two or three others that fill its gap to
+    Filling gaps by two or three items leaves no space, but spends short items that others will miss; which matters
+    more depends on the lengths. So plans that spend one to three on a gap, at first and when closing, are all made
+    and the one of fewest containers is taken, the first of equals.
+    """
+    made = [_plan(counts, capacity, a, b) for a, b in ((3, 3), (2, 2), (1, 3), (1, 2), (1, 1))]
+    return min(made, key=lambda p: sum(p.times))
+
+
+def _plan(counts: np.ndarray, capacity: int, at_first: int, closing: int) -> Plan:
+    """One plan. First exact complements: each length, longest first, with one, two or three others that fill its gap to
     the last token, as often as the stock allows. Then best fit for what is left: the longest item, then
     again and again the longest that fits, closing exactly as soon as one to three items can. A pattern is
     used until it exhausts a length, so the work depends on the number of distinct lengths, not of items.
@@ -139,7 +148,7 @@ def plan(counts: np.ndarray, capacity: int) -> Plan:
                 take([n])
                 continue
             left[n] -= 1
-            rest = stock.exact(capacity - n, left)
+            rest = stock.exact(capacity - n, left, at_first)
             left[n] += 1
             if rest is None:
                 break
@@ -155,7 +164,7 @@ def plan(counts: np.ndarray, capacity: int) -> Plan:
                 if not len(fit):
                     break
                 longest = int(fit[-1]) + 1
-                rest = stock.exact(gap, left) if gap <= 3 * longest else None
+                rest = stock.exact(gap, left, closing) if gap <= closing * longest else None
                 # The longest that fits, as often as one pattern can have it.
                 more = rest if rest is not None else [longest] * max(1, min(int(left[longest]), gap // longest - 3))
                 for x in more:
