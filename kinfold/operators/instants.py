@@ -263,71 +263,98 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None
     return num("src"), num("ord"), pair("e0", "e1"), pair("n0", "n1"), pair("c0", "c1")
 
 
-_EDGE = "part int, src long, e0 long, e1 long, n0 int, n1 int, f0 long, f1 long, m0 int, m1 int, w00 double, w01 double, w10 double, w11 double"
+_SUMMARY, _CHOSEN, _OPEN = range(3)
+_LAID = (
+    "kind int, part int, src long, ord long, stretch int, e0 long, e1 long, n0 int, n1 int, c0 double, c1 double, "
+    "f0 long, f1 long, m0 int, m1 int, w00 double, w01 double, w10 double, w11 double"
+)
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each source in a part: readings of its first and last record and the cheapest costs between them.
+def _part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What one sorted part of the record order can say by itself.
 
-    Only the ends matter, so a source with a decided record costs the stretches before the first and after the last.
+    Chosen readings of stretches that lie inside it. Of its first and last source, which may go on in other
+    parts: a summary (readings of the first and last record there, cheapest costs between them), and the
+    records of stretches that reach the border, still open.
     """
     part = TaskContext.get().partitionId()
     got = _columns(batches)
-    out = []
-    if got:
-        src, _, epoch, kind, cost = got
-        edges = np.flatnonzero(np.diff(src)) + 1
-        for lo, hi in zip(np.concatenate(([0], edges)), np.concatenate((edges, [len(src)])), strict=True):
-            fixed = np.flatnonzero(kind[lo:hi, 1] < 0) + lo
-            if len(fixed):
-                a = _through(epoch[lo : fixed[0] + 1], kind[lo : fixed[0] + 1], cost[lo : fixed[0] + 1])[:, :1]
-                b = _through(epoch[fixed[-1] : hi], kind[fixed[-1] : hi], cost[fixed[-1] : hi])[:1, :]
-                w = a + b
-            else:
-                w = _through(epoch[lo:hi], kind[lo:hi], cost[lo:hi])
-            out.append([part, int(src[lo]), *map(int, epoch[lo]), *map(int, kind[lo]), *map(int, epoch[hi - 1]), *map(int, kind[hi - 1]), *map(float, w.ravel())])
-    names = [x.split(" ")[0] for x in _EDGE.split(", ")]
-    kinds = [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[x.split(" ")[1]] for x in _EDGE.split(", ")]
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+    if not got:
+        return
+    src, order, epoch, kind, cost = got
+    names = [x.strip().split(" ")[0] for x in _LAID.split(",")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    types = [kinds[x.strip().split(" ")[1]] for x in _LAID.split(",")]
+
+    def batch(n: int, **cols) -> pa.RecordBatch:
+        cols = {"part": np.full(n, part), **cols}
+        return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(n, k) for c, k in zip(names, types, strict=True)], names=names)
+
+    edges = np.flatnonzero(np.diff(src)) + 1
+    ends = {(0, int(edges[0]) if len(edges) else len(src)), (int(edges[-1]) if len(edges) else 0, len(src))}
+    for lo, hi in ends:
+        fixed = np.flatnonzero(kind[lo:hi, 1] < 0) + lo
+        if len(fixed):
+            head, tail = slice(lo, fixed[0] + 1), slice(fixed[-1], hi)
+            w = _through(epoch[head], kind[head], cost[head])[:, :1] + _through(epoch[tail], kind[tail], cost[tail])[:1, :]
+        else:
+            w = _through(epoch[lo:hi], kind[lo:hi], cost[lo:hi])
+        at = {f"{c}{i}": [x[j, i]] for c, x, j in (("e", epoch, lo), ("n", kind, lo), ("f", epoch, hi - 1), ("m", kind, hi - 1)) for i in range(_K)}
+        yield batch(1, kind=[_SUMMARY], src=[src[lo]], **at, **{f"w{i}{j}": [w[i, j]] for i in range(_K) for j in range(_K)})
+    rows, chosen = [], []
+    for lo, hi, opens, closes in _runs(src, kind[:, 1] >= 0):
+        opens, closes = opens and lo == 0, closes and hi == len(src)
+        if opens or closes:
+            n, at = hi - lo, slice(lo, hi)
+            pairs = {f"{c}{i}": x[at, i] for c, x in (("e", epoch), ("n", kind), ("c", cost)) for i in range(_K)}
+            yield batch(n, kind=np.full(n, _OPEN), src=src[at], ord=order[at], stretch=np.full(n, opens + 2 * closes), **pairs)
+        else:
+            path = viterbi(epoch[lo:hi], kind[lo:hi], cost[lo:hi])
+            inner = kind[lo:hi, 1] >= 0
+            rows.append(np.arange(lo, hi)[inner])
+            chosen.append(epoch[lo:hi][inner, path[inner]])
+    if rows:
+        at = np.concatenate(rows)
+        yield batch(len(at), kind=np.full(len(at), _CHOSEN), src=src[at], ord=order[at], e0=np.concatenate(chosen))
 
 
 def _outlook(edges):
-    """What each part of one source must add to the readings of its first and last record: costs of the best path before and after."""
+    """The readings that one cheapest path of a source takes at the first and last record of each part."""
     import pandas as pd
 
     e = edges.sort_values("part")
     n = len(e)
-    ep = e[["e0", "e1"]].to_numpy(), e[["f0", "f1"]].to_numpy()
-    kd = e[["n0", "n1"]].to_numpy(), e[["m0", "m1"]].to_numpy()
-    w = e[["w00", "w01", "w10", "w11"]].to_numpy().reshape(n, _K, _K)
-    before, after = np.zeros((n, _K)), np.zeros((n, _K))
-    for i in range(1, n):
-        done = (before[i - 1][:, None] + w[i - 1]).min(0)
-        before[i] = (done[:, None] + _steps(ep[1][i - 1], kd[1][i - 1], ep[0][i], kd[0][i])).min(0)
-    for i in range(n - 2, -1, -1):
-        rest = (w[i + 1] + after[i + 1][None]).min(1)
-        after[i] = (_steps(ep[1][i], kd[1][i], ep[0][i + 1], kd[0][i + 1]) + rest[None]).min(1)
-    return pd.DataFrame({"part": e["part"].to_numpy(), "src": e["src"].to_numpy(), "b0": before[:, 0], "b1": before[:, 1], "a0": after[:, 0], "a1": after[:, 1]})
-
-
-def _choices(outlooks):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        got = _columns(batches)
-        if not got:
-            return
-        src, order, epoch, kind, cost = got
-        at, chosen = [], []
-        for lo, hi, opens, closes in _runs(src, kind[:, 1] >= 0):
-            view = outlooks.value.get((part, int(src[lo])), (None, None))
-            path = viterbi(epoch[lo:hi], kind[lo:hi], cost[lo:hi], view[0] if opens else None, view[1] if closes else None)
-            inner = kind[lo:hi, 1] >= 0
-            at.append(np.arange(lo, hi)[inner])
-            chosen.append(epoch[lo:hi][inner, path[inner]])
-        if at:
-            rows = np.concatenate(at)
-            yield pa.RecordBatch.from_arrays([pa.array(src[rows]), pa.array(order[rows]), pa.array(np.concatenate(chosen))], names=["src", "ord", "epoch_us"])
+    first, last = (e[["e0", "e1"]].to_numpy(), e[["n0", "n1"]].to_numpy()), (e[["f0", "f1"]].to_numpy(), e[["m0", "m1"]].to_numpy())
+    within = e[["w00", "w01", "w10", "w11"]].to_numpy().reshape(n, _K, _K)
+    steps = [_steps(last[0][i], last[1][i], first[0][i + 1], first[1][i + 1]) for i in range(n - 1)]
+    reach, done = [np.zeros(_K)], []
+    for i in range(n):
+        done.append((reach[i][:, None] + within[i]).min(0))
+        if i + 1 < n:
+            reach.append((done[i][:, None] + steps[i]).min(0))
+    opens, closes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    closes[-1] = int(done[-1].argmin())
+    for i in range(n - 1, -1, -1):
+        opens[i] = int((reach[i] + within[i][:, closes[i]]).argmin())
+        if i:
+            closes[i - 1] = int((done[i - 1] + steps[i - 1][:, opens[i]]).argmin())
+    return pd.DataFrame({"part": e["part"].to_numpy(), "src": e["src"].to_numpy(), "opens": opens, "closes": closes})
+
+
+def _close(outlooks):
+    """Chooses along a stretch that reaches a border of its part, keeping to what the path takes there."""
+
+    def run(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("ord")
+        epoch, kind, cost = (rows[[f"{c}0", f"{c}1"]].to_numpy() for c in "enc")
+        view = outlooks.value.get((int(rows["part"].iloc[0]), int(rows["src"].iloc[0])))
+        reach = int(rows["stretch"].iloc[0])
+        forced = lambda i: np.where(np.arange(_K) == view[i], 0.0, np.inf)
+        path = viterbi(epoch, kind, cost, forced(0) if view and reach & 1 else None, forced(1) if view and reach & 2 else None)
+        inner = kind[:, 1] >= 0
+        return pd.DataFrame({"src": rows["src"].to_numpy()[inner], "ord": rows["ord"].to_numpy()[inner], "e0": epoch[inner, path[inner]]})
 
     return run
 
@@ -341,8 +368,8 @@ def choose_readings(rows: DataFrame, source: list[str], order: str) -> DataFrame
     Rows with one reading are decided and go straight through, so paths are sought only for the stretches between
     them. Readings are range-partitioned by (stream, order) and sorted, so one stream may fill many partitions; each
     partition gives the cheapest costs between the readings at its ends (a 2 by 2 matrix per stream), these are
-    chained per stream, at most one row a partition, and each partition then finds its part of the one cheapest
-    path. That is the same path a single pass over the stream would find. Rows of more than two readings keep the
+    chained per stream, at most one row a partition, to one cheapest path, whose readings at the borders each
+    partition then keeps to. The path costs what a single pass over the stream would find. Rows of more than two readings keep the
     two cheapest, which loses none: dates with slashes have two at most.
     """
     spark: SparkSession = rows.sparkSession
@@ -360,15 +387,16 @@ def choose_readings(rows: DataFrame, source: list[str], order: str) -> DataFrame
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = flat.repartitionByRange(parts, "src", "ord").sortWithinPartitions("src", "ord")
-    edges = scratch.keep(ranged.mapInArrow(_summaries, _EDGE))
-    crossing = Window.partitionBy("src")
-    shared = edges.withColumn("n", F.count(F.lit(1)).over(crossing)).where("n > 1").drop("n")
-    # At most two streams of a partition go on in another one, so this is bounded by the number of partitions.
-    views = shared.groupBy("src").applyInPandas(lambda pdf: _outlook(pdf), "part int, src long, b0 double, b1 double, a0 double, a1 double").collect()
-    outlooks = spark.sparkContext.broadcast({(v.part, v.src): (np.array([v.b0, v.b1]), np.array([v.a0, v.a1])) for v in views})
-    chosen = ranged.mapInArrow(_choices(outlooks), "src long, ord long, epoch_us long").select(
-        F.col("src").alias("_src"), F.col("ord").alias(order), F.col("epoch_us").alias("_chosen")
-    )
+    # Written, so that the parts are the same for all that follows.
+    laid = scratch.keep(ranged.mapInArrow(_part, _LAID))
+    edges = laid.where(F.col("kind") == _SUMMARY).drop("kind", "ord", "stretch", "c0", "c1")
+    shared = edges.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("src"))).where("n > 1").drop("n")
+    # At most two streams of a part go on in another one, so this is bounded by the number of parts.
+    views = shared.groupBy("src").applyInPandas(lambda pdf: _outlook(pdf), "part int, src long, opens long, closes long").collect()
+    outlooks = spark.sparkContext.broadcast({(v.part, v.src): (v.opens, v.closes) for v in views})
+    closed = laid.where(F.col("kind") == _OPEN).groupBy("part", "src", "stretch").applyInPandas(_close(outlooks), "src long, ord long, e0 long")
+    chosen = laid.where(F.col("kind") == _CHOSEN).select("src", "ord", "e0").union(closed)
+    chosen = chosen.select(F.col("src").alias("_src"), F.col("ord").alias(order), F.col("e0").alias("_chosen"))
     undecided = held.where((F.size("readings") > 1) & F.col(order).isNotNull()).join(chosen, ["_src", order])
     settled = held.where((F.size("readings") == 1) | F.col(order).isNull())
     names = rows.columns

@@ -69,7 +69,7 @@ def dimensions(rows: DataFrame) -> DataFrame:
         {
             "d_resolution": _between(F.col("_px"), F.col("_px_lo"), F.col("_px_hi")),
             "d_file_size": _between(F.col("_size"), F.col("_size_lo"), F.col("_size_hi")),
-            "d_exif_complete": F.coalesce(F.least(F.col("exif_tag_count") / tags, F.lit(1.0)), F.lit(0.0)),
+            "d_exif_complete": F.when(F.col("exif_tag_count").isNull(), 0.0).otherwise(F.least(F.col("exif_tag_count") / tags, F.lit(1.0))),
             "d_date_prov": F.when(F.col("shot_date").isNull(), 0.0).when(F.coalesce(near, F.lit(False)), 0.3).otherwise(1.0),
             "d_gps": F.when(F.coalesce(F.col("gps_present").cast("int"), F.lit(0)) != 0, 1.0).otherwise(0.0),
             "d_filename": F.greatest(F.lit(0.0), 1.0 - 0.30 * hits),

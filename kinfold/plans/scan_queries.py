@@ -191,7 +191,7 @@ _SCORE_SQL = rf"""WITH {MANIFEST_SQL}, base AS (
 ), dims AS (
   SELECT *, CASE WHEN px IS NULL THEN 0 WHEN plo = phi THEN 1 ELSE CAST(px - plo AS DOUBLE) / CAST(phi - plo AS DOUBLE) END AS d1,
     CASE WHEN file_size_bytes IS NULL THEN 0 WHEN slo = shi THEN 1 ELSE CAST(file_size_bytes - slo AS DOUBLE) / CAST(shi - slo AS DOUBLE) END AS d2,
-    coalesce(least(exif_tag_count / CAST(CASE WHEN video THEN 9 ELSE 16 END AS DOUBLE), 1), 0) AS d3,
+    CASE WHEN exif_tag_count IS NULL THEN 0 ELSE least(exif_tag_count / CAST(CASE WHEN video THEN 9 ELSE 16 END AS DOUBLE), 1) END AS d3,
     CASE WHEN shot_date IS NULL THEN 0 WHEN mtime IS NOT NULL AND abs(epoch_us(shot_date) - epoch_us(mtime)) < 2000000 THEN 0.3::DOUBLE ELSE 1 END AS d4,
     CASE WHEN coalesce(gps_present, 0) <> 0 THEN 1 ELSE 0 END AS d5,
     CAST(regexp_matches(stem, '(?i)(^|[^A-Za-z])copy([^A-Za-z]|$)') AS INT) + CAST(regexp_matches(stem, '\(\d+\)') AS INT) + CAST(regexp_matches(stem, '(?i)(^|[^A-Za-z])edited?([^A-Za-z]|$)') AS INT)
