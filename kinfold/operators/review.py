@@ -13,10 +13,6 @@ from .select import tier
 DECISION_RANK = {"delete": 1, "keep": 2, "ignore": 4}
 
 
-def _own(group: str) -> object:
-    return Window.partitionBy(group)
-
-
 def survivors(rows: DataFrame, group: str = "group_id", least: int = 2) -> DataFrame:
     """Rows of groups with at least two visible members. Counts are aggregated first and joined back, so no group is gathered."""
     sizes = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
@@ -133,25 +129,33 @@ def similarity_labels(rows: DataFrame, group: str = "group_id") -> DataFrame:
     return held.withColumn("similarity", label).drop("_ref", "_rp", "_d")
 
 
-def nearest_member(rows: DataFrame, group: str = "group_id", key: str = "id") -> DataFrame:
+def nearest_member(rows: DataFrame, group: str = "group_id", key: str = "id", close: int = 8) -> DataFrame:
     """(key, nearest): the other member of the group with the fewest bits between the hashes, the first by key of equals; rows without hash have none.
 
-    Members meet by hash value, not row by row: equal hashes of a group are one value with its two first keys. Values of one
-    group still all meet, which the groups of a similarity graph keep small; a group is bounded by the near pairs it came from.
+    Members meet by hash value, not row by row: equal hashes of a group are one value with its two first keys. Values at most
+    `close` bits apart meet by an index within the group. Only values without such a neighbour, which groups made of near
+    pairs hardly have, are compared with all values of their group.
     """
     from ..functions.labels import hex_hash
-
-    held = rows.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), hex_hash(F.col("phash")).alias("h")).where("h is not null")
-    heads = held.withColumn("_n", F.row_number().over(Window.partitionBy("g", "h").orderBy("k"))).where("_n <= 2").select("g", F.col("h").alias("o"), F.col("k").alias("other"))
-    values = held.select("g", "h").distinct()
+    from ..runtime import Scratch
+    from .similarity import hash_value_pairs
+
+    scratch = Scratch(rows.sparkSession, "members")
+    held = scratch.keep(rows.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), hex_hash(F.col("phash")).alias("h")).where("h is not null"))
+    heads = scratch.keep(held.withColumn("_n", F.row_number().over(Window.partitionBy("g", "h").orderBy("k"))).where("_n <= 2").select("g", F.col("h").alias("o"), F.col("k").alias("other")))
+    values = scratch.keep(held.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n")))
+    pairs = scratch.keep(hash_value_pairs(values.select("g", "h"), close, within=["g"]))
+    both = pairs.select("g", F.col("a").alias("h"), F.col("b").alias("o"), "bits").unionByName(pairs.select("g", F.col("b").alias("h"), F.col("a").alias("o"), "bits"))
+    alone = values.where("n = 1").select("g", "h").join(both.select("g", "h").distinct(), ["g", "h"], "left_anti")
+    far = alone.join(values.select("g", F.col("h").alias("o")), "g").where("h <> o").select("g", "h", "o", F.expr("bit_count(h ^ o)").alias("bits"))
+    own = values.select("g", "h", F.col("h").alias("o"), F.lit(0).alias("bits"))
     near = (
-        values.join(heads, "g")
-        .withColumn("bits", F.expr("bit_count(h ^ o)"))
+        both.unionByName(far).unionByName(own).join(heads, ["g", "o"])
         .withColumn("_n", F.row_number().over(Window.partitionBy("g", "h").orderBy("bits", "other")))
         .where("_n <= 2")
         .groupBy("g", "h")
         .agg(F.sort_array(F.collect_list(F.struct("_n", "other"))).alias("near"))
-    )
+    )
     pick = F.get(F.filter("near", lambda x: x["other"] != F.col("k")), F.lit(0))["other"]
     return held.join(near, ["g", "h"]).select(F.col("k").alias(key), pick.alias("nearest"))
 

@@ -34,12 +34,22 @@ def text_field(name: str) -> Column:
     return fields.get(name, F.lit(None).cast("string"))
 
 
-def numeric_field(name: str, group: str = "group_id") -> Column:
-    """A field as a number: dates as epoch seconds (UTC), Similarity as the stored distance, Group Count as the group's present size."""
+def with_number(rows: DataFrame, name: str, to: str, group: str = "group_id") -> DataFrame:
+    """Adds a field as a number: dates as epoch seconds (UTC), Similarity as the stored distance, Group Count as the group's present size.
+
+    Sizes are counted per group and joined back, so no group is gathered.
+    """
+    if name != "Group Count":
+        return rows.withColumn(to, numeric_field(name))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).cast("double").alias(to)).withColumnRenamed(group, "_g")
+    return rows.join(sizes, rows[group].eqNullSafe(sizes["_g"])).drop("_g")
+
+
+def numeric_field(name: str) -> Column:
+    """A field of a row as a number; NULL for fields that are none or that need more than the row."""
     when = lambda c: F.unix_micros(F.col(c).try_cast("timestamp_ntz").cast("timestamp")) / 1e6
     fields = {
         "Size (Bytes)": lambda: F.col("file_size_bytes").cast("double"),
-        "Group Count": lambda: F.count(F.lit(1)).over(Window.partitionBy(group)).cast("double"),
         "Similarity": lambda: F.col("hamming_distance").cast("double"),
         "Score": lambda: F.when(~F.isnan("score"), F.col("score")),
         "Creation Date": lambda: when("creation_date"),
@@ -60,8 +70,7 @@ def rank_in_group(rows: DataFrame, field: str, n: int, descending: bool = True,
 
     NULL values take no part; n below 1 gives no rows. The filter on the place becomes a group limit before the shuffle.
     """
-    value = numeric_field(field, group)
-    held = rows.withColumn("value", value).where(F.col("value").isNotNull() & F.col(group).isNotNull())
+    held = with_number(rows, field, "value", group).where(F.col("value").isNotNull() & F.col(group).isNotNull())
     key = F.col("value").desc() if descending else F.col("value").asc()
     placed = held.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(key, "source_path")))
     return placed.where(F.col("place") <= max(n, 0))
@@ -72,7 +81,7 @@ def by_threshold(rows: DataFrame, field: str, op: str, threshold: str, group: st
     limit = parse_threshold(threshold, field in DATES)
     if limit is None or op not in COMPARISONS:
         return rows.where(F.lit(False))
-    held = rows.withColumn("_v", numeric_field(field, group))
+    held = with_number(rows, field, "_v", group)
     compare = {">": F.col("_v") > limit, ">=": F.col("_v") >= limit, "<": F.col("_v") < limit, "<=": F.col("_v") <= limit, "==": F.col("_v") == limit, "!=": F.col("_v") != limit}
     return held.where(compare[op]).drop("_v")
 
@@ -174,6 +183,9 @@ def limit_per_source(rows: DataFrame, limits: dict[str, int], label: str = "sour
     """At most the given number of rows of each source, the first by order; sources not named keep all."""
     if not limits:
         return rows
+    named = F.coalesce(F.col(label).isin(*limits), F.lit(False))
     most = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])[F.col(label)]
-    placed = rows.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy(order)))
-    return placed.where(most.isNull() | (F.col("_n") <= most)).drop("_n")
+    placed = rows.where(named).withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy(order)))
+    # The constant bound becomes a group limit before the shuffle.
+    cut = placed.where((F.col("_n") <= max(limits.values())) & (F.col("_n") <= most)).drop("_n")
+    return rows.where(~named).unionByName(cut)

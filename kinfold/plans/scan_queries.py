@@ -166,12 +166,12 @@ def g1_components_of_matches(spark, d):
     return components(table(spark, d, "manifest_row"), "source_path", "duplicate_of")
 
 
-@query(f"{_M} SELECT a.ord AS i, b.ord AS j, round(sqrt(pow(CAST(split_part(a.mean_color, ',', 1) AS INT) - CAST(split_part(b.mean_color, ',', 1) AS INT), 2) + pow(CAST(split_part(a.mean_color, ',', 2) AS INT) - CAST(split_part(b.mean_color, ',', 2) AS INT), 2) + pow(CAST(split_part(a.mean_color, ',', 3) AS INT) - CAST(split_part(b.mean_color, ',', 3) AS INT), 2)), 6) AS distance FROM media a JOIN media b ON a.sha256 = b.sha256 AND a.ord < b.ord")
+@query(f"{_C} SELECT e.ord, round(sqrt(pow(CAST(split_part(r.mean_color, ',', 1) AS INT) - CAST(split_part(k.mean_color, ',', 1) AS INT), 2) + pow(CAST(split_part(r.mean_color, ',', 2) AS INT) - CAST(split_part(k.mean_color, ',', 2) AS INT), 2) + pow(CAST(split_part(r.mean_color, ',', 3) AS INT) - CAST(split_part(k.mean_color, ',', 3) AS INT), 2)), 6) AS distance FROM exact e JOIN ranked r USING (ord) JOIN ranked k ON k.path = e.keeper")
 def f14_colour_distance(spark, d):
-    m = media(spark, d)
-    a = m.select("sha256", F.col("ord").alias("i"), F.col("mean_color").alias("ca"))
-    b = m.select("sha256", F.col("ord").alias("j"), F.col("mean_color").alias("cb"))
-    return a.join(b, "sha256").where("i < j").select("i", "j", F.round(labels.colour_distance(F.col("ca"), F.col("cb")), 6).alias("distance"))
+    rows = _ranked(spark, d)
+    kept = rows.select(F.col("path").alias("keeper"), F.col("mean_color").alias("k"))
+    met = C.exact_copies(rows).join(rows.select("ord", "mean_color"), "ord").join(kept, "keeper")
+    return met.select("ord", F.round(labels.colour_distance(F.col("mean_color"), F.col("k")), 6).alias("distance"))
 
 
 @query(f"{_M} SELECT ord, coalesce(bit_count(h) BETWEEN 4 AND 60, true) AS textured, pixel_width IS NULL OR pixel_height IS NULL OR (pixel_width >= 128 AND pixel_height >= 128) AS large FROM media")

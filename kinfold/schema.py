@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Fixed values of the table format.
 #: Column, type, default for tables written before the column existed.
 MANIFEST = [
     ("id", "bigint", None), ("source_path", "string", None), ("source_label", "string", None), ("action", "string", ""),
