@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.instants import manifest_instants
 from ..runtime import table
-from . import review_queries, scan_queries
+from . import detail_queries, review_queries, scan_queries
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,4 +16,4 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found} | scan_queries.QUERIES | review_queries.QUERIES
+    return {"p3_found": p3_found} | scan_queries.QUERIES | review_queries.QUERIES | detail_queries.QUERIES
