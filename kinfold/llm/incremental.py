@@ -61,16 +61,16 @@ def pivot_table(hashes: DataFrame, radius: int) -> DataFrame:
 
 
 def probes(queries: DataFrame, radius: int) -> DataFrame:
-    """A row (q, k) for each key of the pivot table that can hold a hash within the radius of hash q.
+    """The queries with a row for each key k of the pivot table that can hold a hash within the radius of hash q.
 
     The keys are those of the word itself and of its 16 neighbours; p is the position of the changed bit, 16
     the bit outside the code, -1 none. Two neighbours of one word whose positions differ by its check value
     share a pivot, so the smaller position stands for both, and a codeword's own neighbours all share one.
     """
     flips = [F.struct(F.lit(w).alias("w"), F.lit(p).alias("p")) for w, t in enumerate(thresholds(radius)) if t >= 0 for p in ([-1, *range(1, 17)] if t else [-1])]
-    rows = queries.select("q", F.explode(F.array(*flips)).alias("f")).select("q", "f.*").withColumn("x", F.expr(_word("q")))
+    rows = queries.withColumn("f", F.explode(F.array(*flips))).select(*queries.columns, "f.*").withColumn("x", F.expr(_word("q")))
     rows = rows.withColumn("own", F.expr(_check("x"))).where("p in (-1, 16) or if(own = 0, p = 1, p = own or p < (own ^ p))")
-    return _keyed(rows.withColumn("y", F.expr("case when p = -1 then x when p = 16 then x ^ 1 else x ^ shiftleft(1, p) end")), "y").select("q", "k")
+    return _keyed(rows.withColumn("y", F.expr("case when p = -1 then x when p = 16 then x ^ 1 else x ^ shiftleft(1, p) end")), "y").select(*queries.columns, "k")
 
 
 def close_pairs(queries: DataFrame, table: DataFrame, radius: int) -> DataFrame:
@@ -80,7 +80,7 @@ def close_pairs(queries: DataFrame, table: DataFrame, radius: int) -> DataFrame:
     at hot keys. A pair that meets in several words is reported by the first one only.
     """
     apart = " ".join(f"when bit_count(shiftrightunsigned(q ^ h, {48 - 16 * w}) & 65535) <= {t} then {w}" for w, t in enumerate(thresholds(radius)) if t >= 0)
-    met = probes(queries, radius).join(table, "k").where(F.expr(f"bit_count(q ^ h) <= {radius} and w = case {apart} end"))
+    met = probes(queries.select("q"), radius).join(table, "k").where(F.expr(f"bit_count(q ^ h) <= {radius} and w = case {apart} end"))
     return met.select("q", "h", bits_apart(F.col("q"), F.col("h")).alias("bits"), *[c for c in table.columns if c not in ("h", "w", "k")])
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.hashes import usable_hash
 from ..runtime import Scratch
 from .graph import Graph, Layer, _nodes, build, search
+from .incremental import pivot_table, probes
 
-_GRAPH = "shard int, mids binary, hashes binary, top binary, layers array<binary>, slots array<binary>"
+_GRAPH = "shard long, mids binary, hashes binary, top binary, layers array<binary>, slots array<binary>"
 _NEAR = "a long, b long, bits int"
 
 
@@ -59,29 +60,61 @@ def _search(degree: int, width: int, radius: int):
     return run
 
 
-def nearest_values(values: DataFrame, k: int, radius: int, shard_rows: int = 131_072, degree: int = 24, width: int = 32) -> DataFrame:
+def _dealt(values: DataFrame, shards: int, chunks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every hash in one shard, by its own hash; every hash visits every shard, in a number of chunks."""
+    homes = values.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("long"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
+    visits = values.select("mid", "h", F.pmod(F.xxhash64("mid"), F.lit(chunks)).cast("int").alias("chunk"), F.explode(every).alias("shard"))
+    return homes, visits, homes.select("shard").distinct().withColumn("chunks", F.lit(chunks))
+
+
+def _routed(values: DataFrame, radius: int, shards: int, shard_rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every hash in one cell of each of its words, by its pivot there; it visits the cells of the pivots that can hold a hash within the radius.
+
+    A pair within the radius meets in a word (see `incremental`), so no pair is lost, and a hash visits some 30 cells however
+    many there are. Cells are ranges of pivots; one that holds more than shard_rows hashes is cut into shards by hash, and the
+    visits of a cell into chunks of about as many.
+    """
+    bits = min(12, (shards - 1).bit_length())
+    cell = F.shiftright("k", 17 - bits).cast("long").alias("cell")
+    homes = scratch.keep(pivot_table(values, radius).select("mid", "h", cell))
+    visits = scratch.keep(probes(values.withColumnRenamed("h", "q"), radius).select("mid", F.col("q").alias("h"), cell).distinct())
+    size = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias(name))
+    # At most four times 4,096 cells.
+    cut = scratch.keep(size(homes, "cuts").join(size(visits, "chunks"), "cell"))
+    shard = lambda n: (F.col("cell") * (1 << 20) + n).alias("shard")
+    homes = homes.join(cut, "cell").select("mid", "h", shard(F.pmod(F.xxhash64("h"), F.col("cuts"))))
+    each = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    visits = visits.join(cut, "cell").withColumn("n", each).select("mid", "h", F.pmod(F.xxhash64("mid"), F.col("chunks")).cast("int").alias("chunk"), shard(F.col("n")))
+    return homes, visits, cut.withColumn("n", each).select(shard(F.col("n")), "chunks")
+
+
+def nearest_values(
+    values: DataFrame, k: int, radius: int, shard_rows: int = 131_072, degree: int = 24, width: int = 32, route_above: int = 32
+) -> DataFrame:
     """(a, b, bits): of each distinct hash (mid, h), the k nearest others at most radius bits apart by (bits, mid).
 
-    Hashes are dealt by their own hash to shards of about shard_rows, a navigable small-world graph is built
-    per shard in one task and stored as flat arrays, and every hash is searched in every shard, in tasks of
-    a shard and a chunk of hashes; results are merged. A close pair counts for both of its hashes whichever of
-    the two searches met it. `width` is the beam of building and searching: recall against brute force was
+    A navigable small-world graph is built per shard of about shard_rows hashes, in one task, and stored as flat arrays;
+    hashes are searched in tasks of a shard and a chunk, and results are merged. A close pair counts for both of its hashes
+    whichever of the two searches met it. `width` is the beam of building and searching: recall against brute force was
     measured at 0.98 of pairs before, and 0.99 after that.
 
-    Work grows as hashes times shards. `mid` numbers hashes and breaks ties.
+    Up to route_above shards every hash is searched in every shard. Beyond, shards are ranges of word pivots and a hash visits
+    those that can hold its neighbours, so work grows with the hashes alone; both ways reach every pair. `mid` numbers hashes
+    and breaks ties.
     """
     spark = values.sparkSession
     scratch = Scratch(spark, "nearest")
     total = values.count()
     shards = max(1, -(-total // shard_rows))
-    chunks = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards), -(-total // shard_rows))
-    dealt = values.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
-    graphs = scratch.keep(dealt.groupBy("shard").applyInPandas(_build(degree, width), _GRAPH))
-    asked = values.select(
-        "mid", "h", F.pmod(F.xxhash64("mid"), F.lit(chunks)).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    )
-    copies = graphs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    near = asked.groupBy("shard", "chunk").cogroup(copies.groupBy("shard", "chunk")).applyInPandas(_search(degree, width, radius), _NEAR)
+    if shards <= route_above:
+        chunks = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards), -(-total // shard_rows))
+        homes, visits, parts = _dealt(values, shards, chunks)
+    else:
+        homes, visits, parts = _routed(values, radius, shards, shard_rows, scratch)
+    graphs = scratch.keep(homes.groupBy("shard").applyInPandas(_build(degree, width), _GRAPH))
+    copies = graphs.join(parts, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    near = visits.groupBy("shard", "chunk").cogroup(copies.groupBy("shard", "chunk")).applyInPandas(_search(degree, width, radius), _NEAR)
     near = scratch.keep(near)
     both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
     order = Window.partitionBy("a").orderBy("bits", "b")

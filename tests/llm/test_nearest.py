@@ -44,6 +44,15 @@ def test_shards_are_merged(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("rows_a_shard", [20, 100])
+def test_routed_shards_lose_no_pair(spark, rows_a_shard):
+    rows = clustered(6, 80, 10)
+    # One word shared by many: a hot cell that is cut.
+    rows += [(10_000 + i, f"abcd{random.Random(i).getrandbits(48):012x}") for i in range(150)]
+    got = {tuple(r) for r in nearest_pairs(spark.createDataFrame(rows, SCHEMA), shard_rows=rows_a_shard, route_above=1).collect()}
+    assert got == brute(rows)
+
+
 def test_recall_of_the_graph():
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2**63, 1500).astype(np.uint64)
