@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import labels, paths
+from ..functions import labels
 from ..operators import classify as C
 from ..operators import manifest as M
 from ..operators import score as K
