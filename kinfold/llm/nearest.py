@@ -116,6 +116,7 @@ def nearest_values(
     copies = graphs.join(parts, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     near = visits.groupBy("shard", "chunk").cogroup(copies.groupBy("shard", "chunk")).applyInPandas(_search(degree, width, radius), _NEAR)
     near = scratch.keep(near)
+    scratch.drop(graphs)
     both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
     order = Window.partitionBy("a").orderBy("bits", "b")
     return both.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).dropDuplicates(["a", "b"]).select("a", "b", "bits")
