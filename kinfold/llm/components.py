@@ -13,9 +13,9 @@ def connected_groups(links: DataFrame, a: str = "source_path", b: str = "duplica
 
     Hash-to-min, held as rows (v, u) "u is in the cluster set of v" so that no set is ever one value in
     one task. Each round every v takes m, the minimum of its set and itself, sends the whole set to m
-    and m to every member; the rounds end when all sets are stars around their minimum, which is
-    tested exactly (a node above its minimum holds that minimum alone). Rounds grow with the
-    logarithm of the longest chain.
+    and m to every member. A star (every member of m holds m alone, counted exactly) is done and leaves
+    the rounds, which end when none is left, so late rounds move only the sets that still change.
+    Rounds grow with the logarithm of the longest chain.
 
     Texts are replaced by numbers first, in the texts' own order (one range sort of the distinct
     nodes), so the rounds move 16 bytes a row and the smallest number is the smallest text in
@@ -42,22 +42,32 @@ def connected_groups(links: DataFrame, a: str = "source_path", b: str = "duplica
         .select("v", "u")
     )
     sets = scratch.keep(edges.union(edges.select("u", "v")))
+    labels = []
     for _ in range(max_rounds):
         minima = sets.groupBy("v").agg(F.min("u").alias("lowest"), F.count(F.lit(1)).alias("size"))
-        loose = minima.where((F.col("lowest") < F.col("v")) & (F.col("size") > 1))
-        if loose.isEmpty():
-            break
-        met = sets.join(minima.select("v", F.least("v", "lowest").alias("m")), "v")
+        # A star is done: its minimum holds as many members as there are nodes that hold this minimum alone.
+        leaf = (F.col("lowest") < F.col("v")) & (F.col("size") == 1)
+        rooted = minima.withColumn("root", F.when(F.col("lowest") > F.col("v"), F.col("v")).when(leaf, F.col("lowest")))
+        held = F.max(F.when(F.col("v") == F.col("root"), F.col("size")))
+        stars = rooted.where("root is not null").groupBy("root").agg(F.count_if(F.col("v") != F.col("root")).alias("leaves"), held.alias("held"))
+        done = stars.where(F.col("leaves") == F.col("held")).select("root", F.lit(True).alias("done"))
+        known = rooted.join(done, "root", "left").select("v", F.least("v", "lowest").alias("m"), F.coalesce("done", F.lit(False)).alias("done"))
+        known = scratch.keep(known)
+        labels.append(known.where("done").select("v", "m"))
+        met = sets.join(known.where("not done").select("v", "m"), "v")
         sent = met.select(F.explode(F.array(F.struct("m", F.col("u").alias("w")), F.struct("m", F.col("v").alias("w")))).alias("s")).select("s.*")
         sent = sent.where(F.col("m") != F.col("w")).distinct()
         both = sent.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("w").alias("u")), F.struct(F.col("w").alias("v"), F.col("m").alias("u")))).alias("s"))
         after = scratch.keep(both.select("s.*"))
         scratch.drop(sets)
         sets = after
+        if sets.isEmpty():
+            break
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    stars = sets.where(F.col("u") < F.col("v")).select("v", F.col("u").alias("m"))
-    label = stars.union(stars.select(F.col("m").alias("v"), "m").distinct())
+    label = labels[0]
+    for part in labels[1:]:
+        label = label.union(part)
     return (
         label.join(nodes.select(F.col("nid").alias("v"), "node"), "v")
         .join(nodes.select(F.col("nid").alias("m"), F.col("node").alias("group_id")), "m")
