@@ -60,12 +60,12 @@ def _search(degree: int, width: int, radius: int):
     return run
 
 
-def _dealt(values: DataFrame, shards: int, chunks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _dealt(values: DataFrame, shards: int, chunks: int) -> tuple[DataFrame, DataFrame]:
     """Every hash in one shard, by its own hash; every hash visits every shard, in a number of chunks."""
     homes = values.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("long"))
     every = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
     visits = values.select("mid", "h", F.pmod(F.xxhash64("mid"), F.lit(chunks)).cast("int").alias("chunk"), F.explode(every).alias("shard"))
-    return homes, visits, homes.select("shard").distinct().withColumn("chunks", F.lit(chunks))
+    return homes, visits
 
 
 def _routed(values: DataFrame, radius: int, shards: int, shard_rows: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -109,11 +109,13 @@ def nearest_values(
     shards = max(1, -(-total // shard_rows))
     if shards <= route_above:
         chunks = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards), -(-total // shard_rows))
-        homes, visits, parts = _dealt(values, shards, chunks)
+        homes, visits = _dealt(values, shards, chunks)
+        counted = lambda graphs: graphs.withColumn("chunks", F.lit(chunks))
     else:
         homes, visits, parts = _routed(values, radius, shards, shard_rows, scratch)
+        counted = lambda graphs: graphs.join(parts, "shard")
     graphs = scratch.keep(homes.groupBy("shard").applyInPandas(_build(degree, width), _GRAPH))
-    copies = graphs.join(parts, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    copies = counted(graphs).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     near = visits.groupBy("shard", "chunk").cogroup(copies.groupBy("shard", "chunk")).applyInPandas(_search(degree, width, radius), _NEAR)
     near = scratch.keep(near)
     scratch.drop(graphs)
