@@ -15,7 +15,7 @@ from ..operators import score as K
 from ..operators import select as S
 from ..runtime import table
 from ..sources import files
-from .fixtures import CLASSIFY_SQL, MANIFEST_SQL, MEDIA_SQL, manifest, media
+from .fixtures import CLASSIFY_SQL, MANIFEST_SQL, MEDIA_SQL, dated_manifest, manifest, media
 from .review_queries import _TOOL, _tool_output
 from .scan_queries import _SCORE_SQL, _open, _ranked
 
@@ -75,13 +75,22 @@ def pr12_text_fields(spark, d):
     return rows.select("id", *[S.text_field(f).alias(n) if n != "resolution" else F.nullif(S.text_field(f), F.lit("")).alias(n) for n, f in names.items()])
 
 
-@query(f"{W} SELECT id, CAST(file_size_bytes AS DOUBLE) AS size, CAST(hamming_distance AS DOUBLE) AS similarity, score, epoch_us(shot_date) / 1000000.0::DOUBLE AS shot, CAST(count(*) OVER (PARTITION BY group_id) AS DOUBLE) AS members FROM manifest")
-def pr13_numeric_fields(spark, d):
+def _numbers(manifest):
     names = {"size": "Size (Bytes)", "similarity": "Similarity", "score": "Score", "shot": "Shot Date"}
-    rows = S.with_number(manifest(spark, d), "Group Count", "members")
+    rows = S.with_number(manifest, "Group Count", "members")
     return rows.select("id", *[S.numeric_field(f).alias(n) for n, f in names.items()], "members")
 
 
+@query(f"{W} SELECT id, CAST(file_size_bytes AS DOUBLE) AS size, CAST(hamming_distance AS DOUBLE) AS similarity, score, epoch_us(shot_date) / 1000000.0::DOUBLE AS shot, CAST(count(*) OVER (PARTITION BY group_id) AS DOUBLE) AS members FROM manifest")
+def pr13_numeric_fields(spark, d):
+    return _numbers(manifest(spark, d))
+
+
+@query()
+def pr13_numeric_fields_all_dates(spark, d):
+    return _numbers(dated_manifest(spark, d))
+
+
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
 def f1_content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))

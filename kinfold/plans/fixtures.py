@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashes import digest
 from ..functions.paths import file_type
-from ..runtime import table
+from ..operators.instants import manifest_instants
+from ..runtime import Scratch, table
 
 _ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}$"
 
@@ -35,6 +36,17 @@ MANIFEST_SQL = f"""manifest AS (
   FROM migration_manifest)"""
 
 
+def dated_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """manifest() with its three dates read in whatever notation they have, as `p3_found` does; in UTC. SQL has no counterpart."""
+    m = table(spark, d, "migration_manifest")
+    none = spark.createDataFrame([], "sidecar_id bigint, source_label string, raw string")
+    read = manifest_instants(m, none, table(spark, d, "scan_source"))
+    dates = ("shot_date", "creation_date", "mtime")
+    at = lambda c: F.timestamp_micros(F.min(F.when(F.col("field") == c, F.col("epoch_us")))).cast("timestamp_ntz").alias(c)
+    found = Scratch(spark, "dated").keep(read.groupBy(F.col("rec_id").alias("id")).agg(*[at(c) for c in dates]))
+    return manifest(spark, d).drop(*dates).join(found, "id", "left").select(*m.columns)
+
+
 def media(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprints: the first delivery of every path, with a second hash and a colour made from what is there."""
     m = table(spark, d, "migration_manifest").where("source_path is not null")
@@ -52,6 +64,12 @@ def media(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def dated_media(spark: SparkSession, d: str) -> DataFrame:
+    """media() with the dates, tag count and flags its delivery has in the manifest; exif_date is the shot date. SQL has no counterpart."""
+    real = dated_manifest(spark, d).select(F.col("id").alias("ord"), F.col("shot_date").alias("exif_date"), "mtime", "exif_tag_count", "gps_present", "xmp_derived")
+    return media(spark, d).drop("exif_date").join(real, "ord")
+
+
 MEDIA_SQL = r"""media AS (
   SELECT id AS ord, source_path AS path, lower(trim(source_label)) AS source_label,
     CASE WHEN ext IN ('jpg', 'jpeg') THEN 'jpeg' WHEN ext IN ('heic', 'heif') THEN 'heic' WHEN ext IN ('png', 'gif', 'webp', 'mov') THEN ext

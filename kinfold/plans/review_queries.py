@@ -14,7 +14,7 @@ from ..operators import select as S
 from ..runtime import Scratch, table
 from ..schema import align_manifest
 from ..sources import files
-from .fixtures import MANIFEST_SQL, MEDIA_SQL, manifest, media
+from .fixtures import MANIFEST_SQL, MEDIA_SQL, dated_manifest, manifest, media
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -87,6 +87,11 @@ def a6_group_rollup(spark, d):
     return R.group_rollup(manifest(spark, d))
 
 
+@query()
+def a6_group_rollup_all_dates(spark, d):
+    return R.group_rollup(dated_manifest(spark, d))
+
+
 @query(f"{W} SELECT *, total = selected AS is_full_delete FROM (SELECT group_id, count(*) AS total, count_if(user_decision = 'delete') AS selected FROM manifest WHERE group_id IS NOT NULL GROUP BY 1) WHERE selected > 0")
 def a7_delete_plan(spark, d):
     return R.delete_plan(manifest(spark, d))
@@ -235,6 +240,11 @@ def w8_date_threshold(spark, d):
     return S.by_threshold(manifest(spark, d), "Shot Date", "<", "2020-01-01").select("id")
 
 
+@query()
+def w8_date_threshold_all_dates(spark, d):
+    return S.by_threshold(dated_manifest(spark, d), "Shot Date", "<", "2020-01-01").select("id")
+
+
 @query(f"{W} SELECT id FROM manifest WHERE regexp_matches({NAME}, '(?i)^img_\\d+')")
 def w9_regex(spark, d):
     return S.by_pattern(manifest(spark, d), "File Name", r"^img_\d+").select("id")

@@ -13,7 +13,7 @@ from ..operators import similarity as J
 from ..operators.components import components
 from ..operators.select import best_per_group
 from ..runtime import Scratch
-from .fixtures import CLASSIFY_SQL, MANIFEST_SQL, MEDIA_SQL, manifest, media
+from .fixtures import CLASSIFY_SQL, MANIFEST_SQL, MEDIA_SQL, dated_manifest, dated_media, manifest, media
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -110,6 +110,11 @@ def c4_labels(spark, d):
     return C.classify(media(spark, d)).select("ord", "action", "duplicate_of", "hamming_distance", "match_confidence")
 
 
+@query()
+def c4_labels_all_dates(spark, d):
+    return C.classify(dated_media(spark, d)).select("ord", "action", "duplicate_of", "hamming_distance", "match_confidence")
+
+
 @query(f"{_C} SELECT ord, 'exact duplicate of ' || regexp_extract(keeper, '([^/]*)$', 1) AS reason FROM exact")
 def c6_reasons(spark, d):
     return C.classify(media(spark, d)).where(F.col("reason").startswith("exact duplicate")).select("ord", "reason")
@@ -215,26 +220,46 @@ def k12_scores(spark, d):
     return K.score_rows(manifest(spark, d)).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"{_SCORE_SQL} SELECT id, round(d1, 6) AS resolution, round(d2, 6) AS file_size, round(d3, 6) AS exif_complete, CAST(d4 AS DOUBLE) AS date_prov, CAST(d5 AS DOUBLE) AS gps, round(greatest(0, 1 - 0.3::DOUBLE * hits), 6) AS filename, round(greatest(0, 1 - 0.25::DOUBLE * folders), 6) AS path, CAST(d8 AS DOUBLE) AS live_photo, CAST(penalty AS DOUBLE) AS format_penalty, video AND heic_peer AS passenger FROM scored")
-def k1_dimensions(spark, d):
-    rows = K.dimensions(manifest(spark, d).where("group_id is not null"))
+@query()
+def k12_scores_all_dates(spark, d):
+    return K.score_rows(dated_manifest(spark, d)).select("id", F.round("score", 6).alias("score"))
+
+
+def _dimensions(manifest):
+    rows = K.dimensions(manifest.where("group_id is not null"))
     six = lambda c: F.round(f"d_{c}", 6).alias(c)
     return rows.select("id", *[six(c) for c in K.WEIGHTS], "format_penalty", "passenger")
 
 
+@query(f"{_SCORE_SQL} SELECT id, round(d1, 6) AS resolution, round(d2, 6) AS file_size, round(d3, 6) AS exif_complete, CAST(d4 AS DOUBLE) AS date_prov, CAST(d5 AS DOUBLE) AS gps, round(greatest(0, 1 - 0.3::DOUBLE * hits), 6) AS filename, round(greatest(0, 1 - 0.25::DOUBLE * folders), 6) AS path, CAST(d8 AS DOUBLE) AS live_photo, CAST(penalty AS DOUBLE) AS format_penalty, video AND heic_peer AS passenger FROM scored")
+def k1_dimensions(spark, d):
+    return _dimensions(manifest(spark, d))
+
+
+@query()
+def k1_dimensions_all_dates(spark, d):
+    return _dimensions(dated_manifest(spark, d))
+
+
 @query(f"{_SCORE_SQL} SELECT group_id, source_path FROM (SELECT group_id, source_path, row_number() OVER (PARTITION BY group_id ORDER BY round(new_score, 9) DESC, source_path) AS n FROM scored WHERE new_score IS NOT NULL) WHERE n = 1")
 def k13_rescore_keepers(spark, d):
     rescored = K.score_rows(manifest(spark, d)).withColumn("score", F.round("score", 9))
     return best_per_group(rescored)
 
 
+@query()
+def k13_rescore_keepers_all_dates(spark, d):
+    rescored = K.score_rows(dated_manifest(spark, d)).withColumn("score", F.round("score", 9))
+    return best_per_group(rescored)
+
+
 def flagship(spark, d):
     """Classify, group, score, choose keepers: one table from fingerprints to decisions."""
-    rows = C.classify(media(spark, d))
+    rows = C.classify(dated_media(spark, d))
     full = rows.select(
         F.col("ord").alias("id"), F.col("path").alias("source_path"), "source_label", "action", "phash", "hamming_distance", "group_id", "reason", "match_confidence",
-        "file_size_bytes", "pixel_width", "pixel_height", F.col("exif_date").alias("shot_date"), F.lit(None).cast("timestamp_ntz").alias("mtime"),
-        F.lit(None).cast("int").alias("exif_tag_count"), F.lit(0).alias("gps_present"), F.lit(0).alias("xmp_derived"), F.lit("").alias("user_decision"), F.lit(0).alias("is_locked"),
+        "file_size_bytes", "pixel_width", "pixel_height", F.col("exif_date").alias("shot_date"), "mtime", "exif_tag_count", "gps_present", "xmp_derived",
+        F.lit("").alias("user_decision"), F.lit(0).alias("is_locked"),
     )
     scored = Scratch(spark, "flagship").keep(K.score_rows(full))
     chosen = M.auto_select(scored, aggressive=True)
