@@ -81,13 +81,24 @@ def mapped(text: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _bare_letters() -> tuple[str, str, str]:
-    """Accented letters, their bare letters in the same order, and all that a composition can swallow: marks, Hangul."""
+    """Accented letters, their bare letters in the same order, and all that a composition can swallow or reorder: marks, Hangul.
+
+    Swallowed are all that follow the first character of any decomposition, spacing vowel signs among them; if
+    the first is itself swallowed, so is the composed character.
+    """
     accented, bare, swallowed = [], [], []
-    for cp in range(0x80, sys.maxunicode + 1):
-        c = chr(cp)
-        if unicodedata.category(c) == "Mn" or 0x1100 <= cp < 0x1200 or 0xA960 <= cp < 0xA980 or 0xAC00 <= cp < 0xD800:
+    letters = {c: unicodedata.normalize("NFD", c) for cp in range(0x80, sys.maxunicode + 1) if not 0xD800 <= cp < 0xE000 for c in (chr(cp),)}
+    later = {x for parts in letters.values() for x in parts[1:]}
+
+    def goes(c: str) -> bool:
+        cp = ord(c)
+        mark = c in later or unicodedata.category(c) == "Mn" or unicodedata.combining(c) != 0
+        return mark or 0x1100 <= cp < 0x1200 or 0xA960 <= cp < 0xA980 or 0xAC00 <= cp < 0xD800
+
+    for c, parts in letters.items():
+        if goes(c) or goes(parts[0]):
             swallowed.append(c)
-        elif not 0xD800 <= cp < 0xE000 and (parts := unicodedata.normalize("NFD", c)) != c:
+        elif parts != c:
             accented.append(c)
             bare.append(parts[0])
     return "".join(accented), "".join(bare), "".join(swallowed)

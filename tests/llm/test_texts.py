@@ -5,7 +5,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm.canon import look_alike_classes, look_alike_pairs, mapped, one_form
+from kinfold.llm.canon import look_alike_classes, look_alike_pairs, mapped, one_form, skeleton
 from kinfold.llm.leaks import leaked_items
 
 DOC = "doc_id long, text string"
@@ -52,6 +52,28 @@ def test_hangul_in_parts(spark):
     assert [tuple(r) for r in got] == [(1, 2)]
 
 
+def test_skeleton_is_the_same_for_all_compositions(spark):
+    chars = [chr(cp) for cp in range(0x80, 0x110000) if not 0xD800 <= cp < 0xE000]
+    rows = [(c, unicodedata.normalize("NFD", c), unicodedata.normalize("NFC", c)) for c in chars]
+    frame = spark.createDataFrame([r for r in rows if len(set(r)) > 1], "c string, d string, n string")
+    c, d, n = (skeleton(F.col(x)) for x in "cdn")
+    assert frame.where((c != d) | (c != n)).collect() == []
+
+
+def test_skeleton_does_not_depend_on_the_order_of_marks(spark):
+    marks = [chr(cp) for cp in range(0x80, 0x110000) if unicodedata.combining(chr(cp))]
+    rows = [("x" + a + b, unicodedata.normalize("NFD", "x" + a + b)) for m in marks for a, b in ((m, "\u0301"), ("\u0301", m), (m, "\u0334"), ("\u0334", m))]
+    frame = spark.createDataFrame(rows, "c string, d string")
+    assert frame.where(skeleton(F.col("c")) != skeleton(F.col("d"))).collect() == []
+
+
+def test_pairs_of_composed_and_decomposed_vowel_signs(spark):
+    words = ["க\u0bcaக", "ক\u09cbক", "ക\u0d4aക", "ಕ\u0cc0ಕ", "ක\u0ddcක"]
+    rows = [(2 * i + j, unicodedata.normalize(f, w)) for i, w in enumerate(words) for j, f in enumerate(("NFC", "NFD"))]
+    got = look_alike_pairs(spark.createDataFrame(rows, DOC)).collect()
+    assert sorted(map(tuple, got)) == [(2 * i, 2 * i + 1) for i in range(len(words))]
+
+
 def test_classes_have_one_canonical_member(spark):
     rows = [(3, "ABE"), (1, "ΑΒΕ"), (2, "АВЕ"), (4, "ABE"), (9, "other")]
     got = look_alike_classes(spark.createDataFrame(rows, DOC)).collect()
