@@ -201,13 +201,16 @@ def build(values: np.ndarray, degree: int = 24, width: int = 32, fan: int = 16,
                     code = (own.astype(np.int64) << _SHIFT) | (nodes.astype(np.int64) << _ONE)[None, :]
                     found.append(np.sort(code, axis=1)[:, :k])
             else:
-                # Nodes that arrive together meet here, if they are close; the graph has the rest.
+                # Nodes that arrive together meet here, if they are close, the nearest of them first; the graph has the rest.
                 r, c = np.nonzero(own <= _CLOSE)
                 if len(r):
+                    # One key: row, then distance and node as in _keys.
+                    code = np.sort((r << np.int64(48)) | _keys(own[r, c], nodes[c]))
+                    r, code = code >> np.int64(48), code & ((_ONE << np.int64(48)) - _ONE)
                     rank = np.arange(len(r)) - np.searchsorted(r, r)
                     few = rank < width
                     near = np.full((len(nodes), int(rank[few].max()) + 1), _FAR)
-                    near[r[few], rank[few]] = _keys(own[r[few], c[few]], nodes[c[few]])
+                    near[r[few], rank[few]] = code[few]
                     found.append(near)
             if at:
                 part = Graph(values, [layer, *reversed(layers)], g.top)

@@ -70,6 +70,20 @@ def test_recall_of_the_graph():
     assert hit / total >= 0.98
 
 
+def test_nearest_of_a_crowd_are_linked():
+    # All arrive with more close ones than have a place: the nearest must be kept.
+    rng = np.random.default_rng(8)
+    values = np.full(4096, 0x9E3779B97F4A7C15, np.uint64)
+    for _ in range(8):
+        values ^= np.uint64(1) << rng.integers(0, 64, len(values)).astype(np.uint64)
+    values = rng.permutation(np.unique(values))
+    links = build(values).layers[0].neighbours
+    apart = np.bitwise_count(values[:, None] ^ values[None, :])
+    np.fill_diagonal(apart, 99)
+    held = np.where(links >= 0, np.take_along_axis(apart, np.maximum(links, 0).astype(np.int64), 1), 99)
+    assert (held.min(1) == apart.min(1)).mean() >= 0.95
+
+
 def test_equal_hashes_and_edges(spark):
     h = "f0f0f0f0f0f0f0f0"
     rows = [(i, h) for i in range(1, 30)] + [(50, None), (51, ""), (52, "zz"), (53, "0" * 16), (54, "f" * 16), (55, "0f0f0f0f0f0f0f0f")]
