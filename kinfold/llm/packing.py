@@ -102,7 +102,8 @@ class _Stock:
             a = np.arange(1, min(top, gap - 2) + 1)
             rest = gap - a
             ok = (left[a] > 0) & (rest < len(sums)) & sums[np.minimum(rest, len(sums) - 1)]
-            for x in a[ok][::-1][:8]:
+            # An outdated index is given up after a few; the fresh one is gone through to its end.
+            for x in a[ok][::-1][: None if fresh else 8]:
                 left[x] -= 1
                 two = self.pair(int(gap - x), left)
                 left[x] += 1

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kinfold.llm.packing import MAX_CAPACITY, pack, pack_documents, plan
+from kinfold.llm.packing import MAX_CAPACITY, _Stock, pack, pack_documents, plan
 
 BUDGET = "budget_id int, name string, capacity_tokens int"
 
@@ -32,6 +32,16 @@ def test_exact_complements_first():
     assert sum(p.times) == 6
 
 
+def test_three_that_fill_a_gap_are_found_behind_many_that_do_not():
+    # Ten longer lengths each need two of a length of which there is one; no two of all fill the gap.
+    single = [1, 3, 7, 9, 19, 21, 25, 27, 55, 57]
+    counts = np.zeros(2001, int)
+    counts[single + [2000 - 2 * y for y in single] + [700, 657, 643]] = 1
+    stock = _Stock(counts)
+    assert sorted(stock.exact(2000, stock.left, 3)) == [643, 657, 700]
+    assert (stock.left == counts).all()
+
+
 def test_planning_does_not_grow_with_the_items():
     rng = np.random.default_rng(0)
     counts = np.zeros(1025, int)
