@@ -47,6 +47,12 @@ def pr3_skipped_directories(spark, d):
     return media(spark, d).select("ord", P.in_skipped_directory(F.col("path")).alias("skipped"))
 
 
+@query()
+def pr4_symlinks(spark, d):
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(d).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    return found.select("path", files.through_link(F.col("path"), d).alias("linked"))
+
+
 @query(f"{MD} SELECT ord, regexp_matches(regexp_extract(path, '([^/]*)$', 1), '[.\\s]$') AS unsafe FROM media")
 def pr5_unsafe_names(spark, d):
     return media(spark, d).select("ord", P.has_unsafe_name(F.col("path")).alias("unsafe"))

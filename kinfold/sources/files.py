@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import file_type, has_unsafe_name, in_skipped_directory, is_media, is_skipped_name, magic_type, suffix
 
 
+def through_link(path: Column, root: str) -> Column:
+    """Whether a file, or a directory between it and the root, is a symbolic link; a root that is one does not count.
+
+    Asks the file system the workers see, once a directory and batch.
+    """
+    base = re.sub("^file:/+", "/", root).rstrip("/") + "/"
+
+    @F.pandas_udf(T.BooleanType())
+    def linked(paths: pd.Series) -> pd.Series:
+        known: dict[str, bool] = {}
+
+        def has(p: str) -> bool:
+            if len(p) < len(base):
+                return False
+            if p not in known:
+                known[p] = os.path.islink(p) or has(os.path.dirname(p))
+            return known[p]
+
+        return paths.map(lambda p: p.startswith(base) and (os.path.islink(p) or has(os.path.dirname(p))))
+
+    return linked(path)
+
+
 def scan_sources(
     spark: SparkSession,
     sources: dict[str, str],
@@ -19,7 +47,7 @@ def scan_sources(
     """(ord, path, source_label, size, modified, unsafe_name, file_type[, content]) of the files under each root, sources in their order.
 
     A missing root raises an error (of the file system); files that vanish or cannot be read while scanning are skipped. Directories and
-    files of the skip lists are left out. `limit` is per source, by path. ord is dense within the scan: by source, then path.
+    files of the skip lists are left out, and what is reached through a symbolic link below the root. `limit` is per source, by path. ord is dense within the scan: by source, then path.
     The content column is only read when asked for.
     """
     parts = []
@@ -34,6 +62,7 @@ def scan_sources(
         )
         kept = files.where(~is_skipped_name(F.col("path")) & ~in_skipped_directory(F.col("path"), base))
         kept = kept.where(is_media(F.col("path"))) if media_only else kept
+        kept = kept.where(~through_link(F.col("path"), root))
         parts.append(kept.orderBy("path").limit(limit) if limit is not None else kept)
     if not parts:
         raise ValueError("no sources")
