@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
@@ -20,12 +21,15 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where the cluster names one.
 
-    A machine-local folder is made only where the setting is absent, as in tests on one machine;
-    it is removed when the interpreter ends.
+    A machine-local folder is made only where the setting is absent and all of Spark runs in one process, as in
+    tests; it is removed when the interpreter ends. On a cluster without the setting a RuntimeError is raised.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="kinfold-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
@@ -62,3 +66,8 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         self._fs.delete(self._path(df._kept_at), True)
+
+
+def small(df: DataFrame, bound: int = 1 << 20) -> DataFrame:
+    """The same rows, marked for broadcasting if they are counted to be no more than `bound`; for narrow tables that are cheap to count."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
