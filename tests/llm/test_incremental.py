@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from kinfold.llm.incremental import History, admit, close_pairs, found_repeats, pivot_table, thresholds
+from kinfold.llm.incremental import History, admit, close_pairs, found_repeats, pivot_table, probes, thresholds
 from kinfold.runtime import Scratch
 
 HIST = "id long, source_hash string, phash string"
@@ -83,6 +84,61 @@ def test_batch_by_batch_equals_all_at_once(spark):
     assert sorted(found) == brute(data[:30], data[30:])
 
 
+def test_chains_need_no_limit(spark):
+    # Each row is close to the one before only: in rounds alone, half as many as there are rows.
+    h, chain = 0x0F0F0F0F0F0F0F0F, []
+    bits = [b for b in range(64)]
+    for i in range(60):
+        chain.append((100 + i, None, h))
+        for b in bits[(i * 5) % 60 : (i * 5) % 60 + 5]:
+            h ^= 1 << b
+    incoming = spark.createDataFrame(rows(chain), HIST)
+    got = sorted(map(tuple, found_repeats(spark.createDataFrame([], HIST), incoming).collect()))
+    assert got == brute([], chain)
+    history = History(spark, f"{Scratch(spark, 'test').root}/h")
+    history.append(spark.createDataFrame([], "id long, dg string, ph long"))
+    signed = spark.createDataFrame([(i, None, p - (1 << 64) if p >> 63 else p) for i, _, p in chain], "id long, dg string, ph long")
+    small = admit(signed, history, piece_rows=7, rounds=1).where("accepted_id is not null").select("accepted_id", "id").collect()
+    assert sorted(map(tuple, small)) == got
+
+
+def test_batches_in_turn(spark):
+    rng = random.Random(4)
+    centres = [rng.getrandbits(64) for _ in range(5)]
+    data = [(i, rng.randrange(60) if rng.random() < 0.5 else None, flip(rng, rng.choice(centres), rng.randrange(0, 8))) for i in range(120)]
+    named = [(*r, None if r[0] % 17 == 0 else (r[0] - 40) // 20) for r in rows(data[40:])]
+    got = found_repeats(spark.createDataFrame(rows(data[:40]), HIST), spark.createDataFrame(named, HIST + ", batch_no int"))
+    assert sorted(map(tuple, got.collect())) == brute(data[:40], data[40:])
+    mixed = [(*r, r[0] % 3) for r in rows(data[40:])]
+    again = found_repeats(spark.createDataFrame(rows(data[:40]), HIST), spark.createDataFrame(mixed, HIST + ", batch_no int"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_what_a_batch_reads_does_not_grow_with_the_history(spark):
+    rng = np.random.default_rng(0)
+    new = spark.createDataFrame([(int(x),) for x in rng.integers(-(2**63), 2**63, 5)], "q long")
+    read = []
+    for size in (3_000, 24_000):
+        h = rng.integers(-(2**63), 2**63, size)
+        old = spark.createDataFrame([(i, f"{x & (2**64 - 1):016x}" + "0" * 48, x) for i, x in enumerate(h.tolist())], "id long, dg string, ph long")
+        history = History(spark, f"{Scratch(spark, 'test').root}/h", cell_rows=50)
+        history.append(old)
+        assert history.cells == -(-size // 50)
+        read.append(history.pivots(probes(new, 6)).count())
+        assert history.digests(old.limit(3).select("dg")).count() <= 60 * 3 * 8
+    # Five hashes reach at most 52 cells each, of some 50 rows.
+    assert read[1] < 2 * read[0] < 2 * 5 * 53 * 50 and read[1] < 0.2 * 4 * 24_000
+    whole = history.compact(f"{Scratch(spark, 'test').root}/h")
+    assert whole.cells == history.cells and whole.pivots().count() == history.pivots().count() and whole.digests().count() == history.digests().count()
+
+
+def test_bands_meet_a_thousandth(spark):
+    rng = np.random.default_rng(1)
+    h = spark.createDataFrame([(int(x),) for x in rng.integers(-(2**63), 2**63, 20_000)], "h long")
+    q = spark.createDataFrame([(int(x),) for x in rng.integers(-(2**63), 2**63, 200)], "q long")
+    assert probes(q, 6).join(pivot_table(h, 6), "k").count() < 0.0015 * 20_000 * 200
+
+
 def test_edge_rows(spark):
     history = [(1, "SHA256:" + "A" * 64, "0xF0F0f0f0F0F0F0F0 "), (2, None, None), (3, "", "zz"), (4, "abc", "0000000000000000")]
     incoming = [(10, " " + "a" * 64 + " ", None), (11, None, "f0f0f0f0f0f0f0f1"), (12, None, None), (13, "", ""), (14, "abc", "0000000000000000"), (15, None, "F0F0F0F0F0F0F0F1"), (16, None, None)]
