@@ -50,6 +50,13 @@ SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM near
 """
 
 
+P7_KEPT = """
+SELECT budget_id, CAST(sum((n + capacity_tokens - 1) // capacity_tokens) AS BIGINT) AS pieces, CAST(sum(n) AS BIGINT) AS characters,
+  CAST(0 AS BIGINT) AS too_full, CAST(0 AS BIGINT) AS shared_slots, true AS within_2_percent
+FROM (SELECT length(text) AS n FROM documents WHERE text <> ''), token_budget WHERE capacity_tokens >= 1 GROUP BY budget_id
+"""
+
+
 def _one_form(text: str) -> str:
     """SQL for the one form of a text: the same character map, applied by translate and replace."""
     pairs = character_map()
@@ -84,4 +91,4 @@ WHERE a.doc_id < b.doc_id AND a.text <> b.text AND regexp_matches(a.form, '\\S')
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p9_found": P9_FOUND}
+    return {"p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p7_kept": P7_KEPT, "p8_found": P8_FOUND, "p9_found": P9_FOUND}

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from ..runtime import Scratch
 
-MAX_CAPACITY = 1 << 20
-
 
 def default_tokenizer() -> tuple[str, str]:
     """(path of the vocabulary as ranks, split pattern) of a public byte-level tokenizer."""
@@ -61,10 +59,15 @@ class Plan:
 
 
 class _Stock:
-    """How many items of each length are left, with an index of the sums that two of them can have."""
+    """How many items of each length are left, with an index of the sums that two of them can have.
+
+    The index counts pairs of lengths by their sum: made once by a convolution, then kept up as lengths run out,
+    by one subtraction over the lengths that are left.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.left = counts.astype(np.int64)
+        self.there = self.left > 0
         self.sums: np.ndarray | None = None
 
     def pair(self, gap: int, left: np.ndarray) -> tuple[int, int] | None:
@@ -78,16 +81,26 @@ class _Stock:
         best = int(both.argmax()) if len(a) else 0
         return (int(a[best]), int(gap - a[best])) if len(a) and both[best] else None
 
-    def index(self) -> np.ndarray:
-        if self.sums is None:
-            there = (self.left > 0).astype(np.float64)
-            size = 1 << (2 * len(there)).bit_length()
-            spectrum = np.fft.rfft(there, size)
-            self.sums = np.fft.irfft(spectrum * spectrum, size)[: 2 * len(there)] > 0.5
+    def index(self, held: list[int]) -> np.ndarray:
+        """Pairs of lengths of each sum, those of `held` items that are only lent out among them: never too few."""
+        size = len(self.left)
+        now = self.left > 0
+        now[held] = True
+        gone = np.flatnonzero(self.there & ~now)
+        if self.sums is None or len(gone) > 64:
+            self.there = now
+            room = 1 << (2 * size).bit_length()
+            spectrum = np.fft.rfft(now.astype(np.float64), room)
+            self.sums = np.rint(np.fft.irfft(spectrum * spectrum, room)[: 2 * size]).astype(np.int64)
+        else:
+            for n in gone:
+                self.sums[n : n + size] -= 2 * self.there
+                self.sums[2 * n] += 1
+                self.there[n] = False
         return self.sums
 
-    def exact(self, gap: int, left: np.ndarray, most: int) -> list[int] | None:
-        """One to `most` (three at most) available lengths that fill the gap exactly."""
+    def exact(self, gap: int, left: np.ndarray, most: int, held: list[int] = ()) -> list[int] | None:
+        """One to `most` (three at most) available lengths that fill the gap exactly; None only if there are none."""
         top = len(left) - 1
         if gap <= top and left[gap] > 0:
             return [gap]
@@ -95,25 +108,24 @@ class _Stock:
             return list(two)
         if most < 3 or gap < 3:
             return None
-        for fresh in (False, True):
-            if fresh:
-                self.sums = None
-            sums = self.index()
-            a = np.arange(1, min(top, gap - 2) + 1)
-            rest = gap - a
-            ok = (left[a] > 0) & (rest < len(sums)) & sums[np.minimum(rest, len(sums) - 1)]
-            # An outdated index is given up after a few; the fresh one is gone through to its end.
-            for x in a[ok][::-1][: None if fresh else 8]:
-                left[x] -= 1
-                two = self.pair(int(gap - x), left)
-                left[x] += 1
-                if two:
-                    return [int(x), *two]
-            if not ok.any():
-                return None
+        sums = self.index(list(held))
+        a = np.arange(1, min(top, gap - 2) + 1)
+        rest = gap - a
+        ok = (left[a] > 0) & (rest < len(sums)) & (sums[np.minimum(rest, len(sums) - 1)] > 0)
+        # A pair of the index may need two of a length of which there is one, so all are tried, longest first.
+        for x in a[ok][::-1]:
+            left[x] -= 1
+            two = self.pair(int(gap - x), left)
+            left[x] += 1
+            if two:
+                return [int(x), *two]
         return None
 
 
+#: Items spent on a gap at first and when closing: each makes a plan of its own.
+WAYS = ((3, 3), (2, 2), (1, 3), (1, 2), (1, 1))
+
+
 def plan(counts: np.ndarray, capacity: int) -> Plan:
     """Containers for counts[n] items of n tokens each, n = 1..capacity, as patterns and how often each is used.
 
@@ -121,8 +133,7 @@ def plan(counts: np.ndarray, capacity: int) -> Plan:
     more depends on the lengths. So plans that spend one to three on a gap, at first and when closing, are all made
     and the one of fewest containers is taken, the first of equals.
     """
-    made = [_plan(counts, capacity, a, b) for a, b in ((3, 3), (2, 2), (1, 3), (1, 2), (1, 1))]
-    return min(made, key=lambda p: sum(p.times))
+    return min((_plan(counts, capacity, *way) for way in WAYS), key=lambda p: sum(p.times))
 
 
 def _plan(counts: np.ndarray, capacity: int, at_first: int, closing: int) -> Plan:
@@ -149,12 +160,11 @@ def _plan(counts: np.ndarray, capacity: int, at_first: int, closing: int) -> Pla
                 take([n])
                 continue
             left[n] -= 1
-            rest = stock.exact(capacity - n, left, at_first)
+            rest = stock.exact(capacity - n, left, at_first, [n])
             left[n] += 1
             if rest is None:
                 break
             take([n, *rest])
-    stock.sums = None
     for n in range(capacity, 0, -1):
         while left[n] > 0:
             used = [n]
@@ -165,7 +175,7 @@ def _plan(counts: np.ndarray, capacity: int, at_first: int, closing: int) -> Pla
                 if not len(fit):
                     break
                 longest = int(fit[-1]) + 1
-                rest = stock.exact(gap, left, closing) if gap <= closing * longest else None
+                rest = stock.exact(gap, left, closing, used) if gap <= closing * longest else None
                 # The longest that fits, as often as one pattern can have it.
                 more = rest if rest is not None else [longest] * max(1, min(int(left[longest]), gap // longest - 3))
                 for x in more:
@@ -178,35 +188,31 @@ def _plan(counts: np.ndarray, capacity: int, at_first: int, closing: int) -> Pla
     return out
 
 
-@dataclass
-class _Slots:
-    """For every length, which item numbers go to which containers; one sorted array of starts for all budgets."""
-
-    starts: np.ndarray
-    lo: np.ndarray
-    copies: np.ndarray
-    container: np.ndarray
-    slot: np.ndarray
-    base: dict[int, int]
-
-    @classmethod
-    def of(cls, plans: dict[int, Plan]) -> _Slots:
-        rows, base, offset = [], {}, 0
-        for b, p in sorted(plans.items()):
-            base[b] = offset
-            offset += p.capacity + 1
-            used: Counter[int] = Counter()
-            box = 0
-            for pattern, times in zip(p.patterns, p.times, strict=True):
-                slot = 0
-                for n, c in sorted(pattern.items(), reverse=True):
-                    rows.append(((base[b] + n << 40) | used[n], used[n], c, box, slot))
-                    used[n] += c * times
-                    slot += c
-                box += times
-        rows.sort()
-        cols = [np.array(x, np.int64) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 5
-        return cls(*cols, base)
+def _slots(p: Plan) -> dict[str, list[int]]:
+    """Which item numbers of every length go where: numbers start.. of n, `copies` to a container, from `box` and `slot` on."""
+    out: dict[str, list[int]] = {c: [] for c in ("n", "start", "size", "copies", "box", "slot")}
+    used: Counter[int] = Counter()
+    box = 0
+    for pattern, times in zip(p.patterns, p.times, strict=True):
+        slot = 0
+        for n, c in sorted(pattern.items(), reverse=True):
+            for name, x in zip(out, (n, used[n], c * times, c, box, slot), strict=True):
+                out[name].append(x)
+            used[n] += c * times
+            slot += c
+        box += times
+    return out
+
+
+def _planned(rows):
+    """One way of filling the containers of one budget."""
+    import pandas as pd
+
+    capacity, way = int(rows["c"].iloc[0]), int(rows["way"].iloc[0])
+    counts = np.zeros(capacity + 1, np.int64)
+    counts[rows["n"].to_numpy()] = rows["count"].to_numpy()
+    p = _plan(counts, capacity, *WAYS[way])
+    return pd.DataFrame(_slots(p)).assign(b=int(rows["b"].iloc[0]), way=way, boxes=sum(p.times))
 
 
 def _number(width: int):
@@ -236,19 +242,19 @@ def pack(sizes: DataFrame, budgets: DataFrame, key: str = "doc_id", budget_key:
     sizes has (key, n_tokens). A text longer than the capacity is cut into pieces of the whole capacity and a
     rest; no other is. Containers are numbered from 0 per budget, items in one by slot from 0.
 
-    Only the histogram of lengths comes to the driver: at most `capacity` rows a budget, whatever the corpus.
-    It is planned there (see `plan`), and the plan, bounded alike, goes to the tasks, where each item finds its
-    container by its number among the items of its length: a place within its partition plus the count of
-    earlier partitions. No item meets another in any task, so no length is hot.
+    A budget's histogram of lengths, at most `capacity` rows whatever the corpus, is planned in a task, one task
+    for each way of spending items on gaps (see `plan`); the way of fewest containers is taken. Items are numbered
+    among those of their length: by their place within a partition plus the count of earlier partitions. They
+    meet the plan in an equi-join on (budget, length, block of 256 numbers), so no length is hot, no item meets
+    another, and neither items nor plans come to the driver.
 
-    Rows with NULL or 0 tokens take no part; budgets with a NULL capacity or one below 1 are skipped, one above
-    MAX_CAPACITY raises ValueError. Repeated keys are items each. Empty tables give no rows. Other columns are
-    ignored.
+    Rows with NULL or 0 tokens take no part; budgets with a NULL capacity or one below 1 are skipped. Repeated keys
+    are items each. Empty tables give no rows. Other columns are ignored. Budgets are parameters: their rows are
+    read on the driver. Planning takes memory and time in proportion to a capacity and the number of different
+    lengths, not to the items.
     """
     spark = sizes.sparkSession
-    limits = {r[0]: r[1] for r in budgets.where(F.col(capacity) >= 1).select(budget_key, capacity).distinct().limit(1001).collect()}
-    if len(limits) > 1000 or any(c > MAX_CAPACITY for c in limits.values()):
-        raise ValueError(f"more than 1000 budgets, or a capacity above {MAX_CAPACITY}")
+    limits = {r[0]: r[1] for r in budgets.where(F.col(capacity) >= 1).select(budget_key, capacity).distinct().collect()}
     scratch = Scratch(spark, "pack")
     ids = sorted(limits)
     spec = F.array(*[F.struct(F.lit(i).alias("b"), F.lit(limits[x]).cast("long").alias("c")) for i, x in enumerate(ids)])
@@ -260,41 +266,28 @@ def pack(sizes: DataFrame, budgets: DataFrame, key: str = "doc_id", budget_key:
         .select(F.col(key).alias("k"), "n_tokens", F.explode(spec).alias("s"))
         .select("k", "n_tokens", "s.b", "s.c")
         .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / F.col("c")))))
-        .select("k", "b", "piece", (F.col("piece") * F.col("c")).alias("at"), F.least("c", F.col("n_tokens") - F.col("piece") * F.col("c")).alias("n"))
+        .select("k", "b", "c", "piece", (F.col("piece") * F.col("c")).alias("at"), F.least("c", F.col("n_tokens") - F.col("piece") * F.col("c")).alias("n"))
     )
-    columns = f"k {kind}, b int, piece long, at long, n long"
-    numbered = scratch.keep(items.mapInArrow(_number(MAX_CAPACITY + 1), f"{columns}, part int, place long"))
-    tally = scratch.keep(numbered.groupBy("part", "b", "n").agg(F.count(F.lit(1)).alias("count")))
-    stock = {i: np.zeros(limits[x] + 1, np.int64) for i, x in enumerate(ids)}
-    for r in tally.groupBy("b", "n").agg(F.sum("count").alias("count")).collect():
-        stock[r.b][r.n] = r["count"]
-    plans = {i: plan(stock[i], limits[x]) for i, x in enumerate(ids)}
-    slots = spark.sparkContext.broadcast(_Slots.of(plans))
+    numbered = scratch.keep(items.mapInArrow(_number(max(limits.values(), default=0) + 1), f"k {kind}, b int, c long, piece long, at long, n long, part int, place long"))
+    tally = scratch.keep(numbered.groupBy("part", "b", "c", "n").agg(F.count(F.lit(1)).alias("count")))
+    lengths = tally.groupBy("b", "c", "n").agg(F.sum("count").alias("count")).withColumn("way", F.explode(F.lit(list(range(len(WAYS))))))
+    # Spread one budget and way a task: they are few, and each takes its time.
+    tasks = lengths.repartition(max(1, len(ids) * len(WAYS)), "b", "way").groupBy("b", "way")
+    plans = scratch.keep(tasks.applyInPandas(_planned, "b int, way int, boxes long, n long, start long, size long, copies long, box long, slot long"))
+    best = plans.groupBy("b").agg(F.min(F.struct("boxes", "way"))["way"].alias("way"))
+    block = lambda number: F.floor(number / 256)
+    slots = plans.join(best, ["b", "way"]).withColumn("block", F.explode(F.sequence(block(F.col("start")), block(F.col("start") + F.col("size") - 1))))
     earlier = Window.partitionBy("b", "n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tally.select("part", "b", "n", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("offset"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = slots.value
-        base = np.array([s.base[b] for b in sorted(s.base)], np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            b, n = batch.column("b").to_numpy(), batch.column("n").to_numpy()
-            number = batch.column("place").to_numpy() + batch.column("offset").to_numpy()
-            at = np.searchsorted(s.starts, (base[b] + n << 40) | number, "right") - 1
-            r = number - s.lo[at]
-            box = s.container[at] + r // s.copies[at]
-            slot = s.slot[at] + r % s.copies[at]
-            cols = [batch.column(c) for c in ("k", "b", "piece", "at", "n")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(box), pa.array(slot)], names=["k", "b", "piece", "at", "n", "box", "slot"])
-
-    placed = numbered.join(offsets, ["part", "b", "n"]).select("k", "b", "piece", "at", "n", "place", "offset")
-    done = placed.mapInArrow(run, f"{columns}, box long, slot long")
+    placed = numbered.join(offsets, ["part", "b", "n"]).withColumn("number", F.col("place") + F.col("offset"))
+    placed = placed.withColumn("block", block(F.col("number"))).join(slots.drop("way", "boxes"), ["b", "n", "block"])
+    nth = F.col("number") - F.col("start")
+    placed = placed.where((nth >= 0) & (nth < F.col("size")))
     names = F.array(*[F.lit(x) for x in ids]) if ids else F.array(F.lit(None).cast(dict(budgets.dtypes)[budget_key]))
-    return done.select(
+    return placed.select(
         F.get(names, F.col("b")).alias(budget_key),
-        F.col("box").alias("container_id"),
-        F.col("slot").cast("int").alias("slot"),
+        (F.col("box") + F.floor(nth / F.col("copies"))).alias("container_id"),
+        (F.col("slot") + nth % F.col("copies")).cast("int").alias("slot"),
         F.col("k").alias(key),
         F.col("piece").cast("int").alias("piece_no"),
         F.col("at").alias("start_token"),
