@@ -22,8 +22,11 @@ from ..runtime import Scratch
 
 # The notations a reading can have.
 NUMBER, YEAR_FIRST, YEAR_SLASH, DAY_SLASH, MONTH_SLASH, COMPACT, DAY_NAME, MONTH_NAME = range(8)
-# What a step of the path costs, and a reading that its source's declared order speaks against.
-SWITCH, BACKWARD, UNDECLARED = 1.0, 1.0, 1000.0
+# What a step of the path costs, and a reading that its source's declared order speaks against: more than the steps
+# to both sides of one record can, so the path follows a declared order, and finds the order where none is declared.
+SWITCH, BACKWARD, UNDECLARED = 1.0, 1.0, 5.0
+#: Records of one part of the record order, which one task holds in memory.
+PART_ROWS = 1 << 20
 _DAY_US = 86_400_000_000
 #: Microseconds from 1601-01-01 to 1970-01-01.
 _FROM_1601 = 11_644_473_600_000_000
@@ -197,38 +200,66 @@ def _steps(epoch_a: np.ndarray, kind_a: np.ndarray, epoch_b: np.ndarray, kind_b:
     return np.where((kind_a[:, None] < 0) | (kind_b[None, :] < 0), np.inf, cost)
 
 
+def _scan(items: np.ndarray, op) -> np.ndarray:
+    """items[0], items[0] op items[1], and so on, for an associative op over arrays of items, in a logarithmic number of calls."""
+    n = len(items)
+    if n < 2:
+        return items.copy()
+    pairs = _scan(op(items[: n - 1 : 2], items[1::2]), op)
+    out = np.empty_like(items)
+    out[0] = items[0]
+    out[1::2] = pairs
+    out[2::2] = op(pairs[: (n - 1) // 2], items[2::2])
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cheapest costs through two parts of a path, one after the other."""
+    return (a[:, :, :, None] + b[:, None, :, :]).min(2)
+
+
+def _moves(epoch: np.ndarray, kind: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Costs of all steps, and of each step with the reading it leads to."""
+    switch = kind[:-1, :, None] != kind[1:, None, :]
+    back = epoch[1:, None, :] < epoch[:-1, :, None]
+    step = switch * SWITCH + back * BACKWARD
+    step[(kind[:-1, :, None] < 0) | (kind[1:, None, :] < 0)] = np.inf
+    return step, step + own[1:, None, :]
+
+
 def viterbi(epoch: np.ndarray, kind: np.ndarray, cost: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
     """Cheapest path through records of k readings each (arrays n by k): the chosen reading of each record.
 
     start and end add costs to the readings of the first and last record (what neighbouring parts of the
-    record order say). Of equal paths the one of smaller reading numbers from the end wins.
+    record order say). Of equal paths the one of smaller reading numbers from the end wins. The costs up to each
+    record, and the way back, are prefix scans, so no step is made record by record.
     """
-    n, k = epoch.shape
+    n = len(epoch)
     own = np.where(kind < 0, np.inf, cost)
-    best = own[0] + (0 if start is None else start)
-    back = np.zeros((n, k), np.int64)
-    for i in range(1, n):
-        through = best[:, None] + _steps(epoch[i - 1], kind[i - 1], epoch[i], kind[i])
-        back[i] = through.argmin(0)
-        best = through.min(0) + own[i]
-    at = int((best + (0 if end is None else end)).argmin())
-    path = np.empty(n, np.int64)
-    for i in range(n - 1, -1, -1):
-        path[i] = at
-        at = back[i, at]
-    return path
+    first = own[0] + (0 if start is None else start)
+    step, through = _moves(epoch, kind, own)
+    best = np.concatenate([first[None], (first[None, :, None] + _scan(through, _joined)).min(1)]) if n > 1 else first[None]
+    at = int((best[-1] + (0 if end is None else end)).argmin())
+    if n == 1:
+        return np.array([at])
+    # Where the path to each reading of the next record comes from; composed from the end.
+    back = (best[:-1, :, None] + step).argmin(1)
+    from_end = _scan(back[::-1], lambda a, b: np.take_along_axis(b, a, 1))[::-1]
+    return np.append(from_end[:, at], at)
 
 
 def _through(epoch: np.ndarray, kind: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Cheapest cost through a part of the record order, from each reading of its first record to each of its last."""
-    k = epoch.shape[1]
     own = np.where(kind < 0, np.inf, cost)
-    best = np.full((k, k), np.inf)
+    best = np.full((epoch.shape[1],) * 2, np.inf)
     np.fill_diagonal(best, own[0])
-    for i in range(1, len(epoch)):
-        step = _steps(epoch[i - 1], kind[i - 1], epoch[i], kind[i])
-        best = (best[:, :, None] + step[None]).min(1) + own[i][None]
-    return best
+    if len(epoch) == 1:
+        return best
+    whole = _moves(epoch, kind, own)[1]
+    while len(whole) > 1:
+        odd = whole[len(whole) - len(whole) % 2 :]
+        whole = np.concatenate([_joined(whole[: len(whole) - len(odd) : 2], whole[1::2]), odd])
+    return _joined(best[None], whole)[0]
 
 
 _K = 2
@@ -260,12 +291,12 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None
     t = pa.Table.from_batches(rows)
     num = lambda c: t.column(c).to_numpy()
     pair = lambda a, b: np.stack([num(a), num(b)], 1)
-    return num("src"), num("ord"), pair("e0", "e1"), pair("n0", "n1"), pair("c0", "c1")
+    return num("src"), num("rid"), pair("e0", "e1"), pair("n0", "n1"), pair("c0", "c1")
 
 
 _SUMMARY, _CHOSEN, _OPEN = range(3)
 _LAID = (
-    "kind int, part int, src long, ord long, stretch int, e0 long, e1 long, n0 int, n1 int, c0 double, c1 double, "
+    "kind int, part int, src long, ord long, rid long, stretch int, e0 long, e1 long, n0 int, n1 int, c0 double, c1 double, "
     "f0 long, f1 long, m0 int, m1 int, w00 double, w01 double, w10 double, w11 double"
 )
 
@@ -281,7 +312,7 @@ def _part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = _columns(batches)
     if not got:
         return
-    src, order, epoch, kind, cost = got
+    src, rid, epoch, kind, cost = got
     names = [x.strip().split(" ")[0] for x in _LAID.split(",")]
     kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
     types = [kinds[x.strip().split(" ")[1]] for x in _LAID.split(",")]
@@ -307,7 +338,7 @@ def _part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if opens or closes:
             n, at = hi - lo, slice(lo, hi)
             pairs = {f"{c}{i}": x[at, i] for c, x in (("e", epoch), ("n", kind), ("c", cost)) for i in range(_K)}
-            yield batch(n, kind=np.full(n, _OPEN), src=src[at], ord=order[at], stretch=np.full(n, opens + 2 * closes), **pairs)
+            yield batch(n, kind=np.full(n, _OPEN), src=src[at], ord=np.arange(lo, hi), rid=rid[at], stretch=np.full(n, opens + 2 * closes), **pairs)
         else:
             path = viterbi(epoch[lo:hi], kind[lo:hi], cost[lo:hi])
             inner = kind[lo:hi, 1] >= 0
@@ -315,7 +346,7 @@ def _part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chosen.append(epoch[lo:hi][inner, path[inner]])
     if rows:
         at = np.concatenate(rows)
-        yield batch(len(at), kind=np.full(len(at), _CHOSEN), src=src[at], ord=order[at], e0=np.concatenate(chosen))
+        yield batch(len(at), kind=np.full(len(at), _CHOSEN), src=src[at], rid=rid[at], e0=np.concatenate(chosen))
 
 
 def _outlook(edges):
@@ -354,7 +385,7 @@ def _close(outlooks):
         forced = lambda i: np.where(np.arange(_K) == view[i], 0.0, np.inf)
         path = viterbi(epoch, kind, cost, forced(0) if view and reach & 1 else None, forced(1) if view and reach & 2 else None)
         inner = kind[:, 1] >= 0
-        return pd.DataFrame({"src": rows["src"].to_numpy()[inner], "ord": rows["ord"].to_numpy()[inner], "e0": epoch[inner, path[inner]]})
+        return pd.DataFrame({"rid": rows["rid"].to_numpy()[inner], "e0": epoch[inner, path[inner]]})
 
     return run
 
@@ -362,11 +393,12 @@ def _close(outlooks):
 def choose_readings(rows: DataFrame, source: list[str], order: str) -> DataFrame:
     """Adds `epoch_us`, the chosen reading of each row, by Viterbi over each source's record order; drops rows without readings.
 
-    source: the columns that make one stream of records; order: a BIGINT column, unique within a stream. Rows with
-    NULL in order come out with their cheapest reading, the first of equals.
+    source: the columns that make one stream of records; order: a BIGINT column. Rows of equal order in a stream, repeated
+    ones too, count as records each and come out once each. Rows with NULL in order come out with their cheapest reading,
+    the first of equals.
 
     Rows with one reading are decided and go straight through, so paths are sought only for the stretches between
-    them. Readings are range-partitioned by (stream, order) and sorted, so one stream may fill many partitions; each
+    them. Readings are range-partitioned by (stream, order) and sorted, in parts of about PART_ROWS records or less, so one stream may fill many; each
     partition gives the cheapest costs between the readings at its ends (a 2 by 2 matrix per stream), these are
     chained per stream, at most one row a partition, to one cheapest path, whose readings at the borders each
     partition then keeps to. The path costs what a single pass over the stream would find. Rows of more than two readings keep the
@@ -376,28 +408,32 @@ def choose_readings(rows: DataFrame, source: list[str], order: str) -> DataFrame
     scratch = Scratch(spark, "instants")
     ranked = F.array_sort("readings", lambda a, b: F.when(a["cost"] < b["cost"], -1).when(a["cost"] > b["cost"], 1).otherwise(a["notation"] - b["notation"]))
     best = F.when(F.size("readings") > 1, ranked).otherwise(F.col("readings"))
-    held = scratch.keep(rows.where(F.size("readings") > 0).withColumn("readings", best).withColumn("_src", F.xxhash64(*source)))
+    held = scratch.keep(rows.where(F.size("readings") > 0).withColumn("readings", best).withColumn("_src", F.xxhash64(*source)).withColumn("_rid", F.monotonically_increasing_id()))
     pick = lambda i, f: F.try_element_at("readings", F.lit(i + 1))[f]
-    flat = held.where(F.col(order).isNotNull()).select(
+    # Streams without an undecided record have no path to seek; there are as many streams with one as sources and fields.
+    streams = held.where((F.size("readings") > 1) & F.col(order).isNotNull()).select("_src").distinct()
+    flat = held.where(F.col(order).isNotNull()).join(streams, "_src", "left_semi").select(
         F.col("_src").alias("src"),
         F.col(order).cast("bigint").alias("ord"),
+        F.col("_rid").alias("rid"),
         *[F.coalesce(pick(i, "epoch_us"), F.lit(0).cast("bigint")).alias(f"e{i}") for i in range(_K)],
         *[F.coalesce(pick(i, "notation"), F.lit(-1)).alias(f"n{i}") for i in range(_K)],
         *[F.coalesce(pick(i, "cost"), F.lit(0.0)).alias(f"c{i}") for i in range(_K)],
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = flat.repartitionByRange(parts, "src", "ord").sortWithinPartitions("src", "ord")
+    if held.where(F.size("readings") > 1).isEmpty():
+        return held.select(*[c for c in rows.columns if c != "readings"], F.col("readings")[0]["epoch_us"].alias("epoch_us"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-flat.count() // PART_ROWS))
+    ranged = flat.repartitionByRange(parts, "src", "ord", "rid").sortWithinPartitions("src", "ord", "rid")
     # Written, so that the parts are the same for all that follows.
     laid = scratch.keep(ranged.mapInArrow(_part, _LAID))
-    edges = laid.where(F.col("kind") == _SUMMARY).drop("kind", "ord", "stretch", "c0", "c1")
+    edges = laid.where(F.col("kind") == _SUMMARY).drop("kind", "ord", "rid", "stretch", "c0", "c1")
     shared = edges.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("src"))).where("n > 1").drop("n")
     # At most two streams of a part go on in another one, so this is bounded by the number of parts.
     views = shared.groupBy("src").applyInPandas(lambda pdf: _outlook(pdf), "part int, src long, opens long, closes long").collect()
     outlooks = spark.sparkContext.broadcast({(v.part, v.src): (v.opens, v.closes) for v in views})
-    closed = laid.where(F.col("kind") == _OPEN).groupBy("part", "src", "stretch").applyInPandas(_close(outlooks), "src long, ord long, e0 long")
-    chosen = laid.where(F.col("kind") == _CHOSEN).select("src", "ord", "e0").union(closed)
-    chosen = chosen.select(F.col("src").alias("_src"), F.col("ord").alias(order), F.col("e0").alias("_chosen"))
-    undecided = held.where((F.size("readings") > 1) & F.col(order).isNotNull()).join(chosen, ["_src", order])
+    closed = laid.where(F.col("kind") == _OPEN).groupBy("part", "src", "stretch").applyInPandas(_close(outlooks), "rid long, e0 long")
+    chosen = laid.where(F.col("kind") == _CHOSEN).select("rid", "e0").union(closed).select(F.col("rid").alias("_rid"), F.col("e0").alias("_chosen"))
+    undecided = held.where((F.size("readings") > 1) & F.col(order).isNotNull()).join(chosen, "_rid")
     settled = held.where((F.size("readings") == 1) | F.col(order).isNull())
     names = rows.columns
     return (
@@ -418,7 +454,10 @@ def sidecar_time(raw: Column) -> Column:
 def manifest_instants(manifest: DataFrame, sidecars: DataFrame, sources: DataFrame) -> DataFrame:
     """(rec_id, field, epoch_us) of every readable date of the manifest and of the sidecars.
 
-    Repeated rows count as rows each. Empty tables give no rows; other columns are ignored.
+    A stream is what one source, its label without letter case and outer blanks, wrote into one field, in order of
+    the record's id. Dates with slashes are a stream apart, so that a switch of their order is seen across records
+    of other notations, which have one reading and say nothing about it. Repeated rows count as rows each. Empty
+    tables give no rows; other columns are ignored.
     """
     dates = ["shot_date", "creation_date", "mtime"]
     each = F.explode(F.array(*[F.struct(F.lit(d).alias("field"), F.col(d).cast("string").alias("value")) for d in dates])).alias("f")
@@ -426,5 +465,7 @@ def manifest_instants(manifest: DataFrame, sidecars: DataFrame, sources: DataFra
     theirs = sidecars.select(
         F.col("sidecar_id").alias("rec_id"), "source_label", F.lit("photo_taken").alias("field"), sidecar_time(F.col("raw")).alias("value")
     )
-    read = readings(ours.unionByName(theirs).where(F.col("value").isNotNull()), sources)
-    return choose_readings(read.drop("value"), ["source_label", "field"], "rec_id").select("rec_id", "field", "epoch_us")
+    read = readings(ours.unionByName(theirs).where(F.col("value").isNotNull()), sources).drop("value")
+    slashes = F.try_element_at("readings", F.lit(1))["notation"].isin(DAY_SLASH, MONTH_SLASH)
+    streams = read.withColumns({"label": F.lower(F.trim("source_label")), "slashes": slashes})
+    return choose_readings(streams, ["label", "field", "slashes"], "rec_id").select("rec_id", "field", "epoch_us")

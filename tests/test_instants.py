@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators.instants import BACKWARD, SWITCH, choose_readings, manifest_instants, readings, sidecar_time, viterbi, zone_abbreviations
+from kinfold.operators.instants import BACKWARD, SWITCH, UNDECLARED, _through, choose_readings, manifest_instants, readings, sidecar_time, viterbi, zone_abbreviations
 
 SOURCES = [("Home", "Europe/Berlin", "DMY"), ("usa", "America/New_York", "MDY"), ("tokyo", "Asia/Tokyo", "YMD"), ("open", "UTC", None), ("howe", "Australia/Lord_Howe", "DMY"), ("bad", "Mars/Base", "DMY")]
 
@@ -48,7 +48,7 @@ def test_readings(spark, sources):
     assert got[0].asDict().keys() == {"v", "source_label", "value", "zone", "readings"}
     for r in got:
         if r.v < len(CASES):
-            sure = [x.epoch_us for x in r.readings if x.cost < 1000]
+            sure = [x.epoch_us for x in r.readings if x.cost < UNDECLARED]
             assert sure == [CASES[r.v][2]], CASES[r.v]
         else:
             assert r.readings == [], NONE[r.v - len(CASES)]
@@ -131,6 +131,43 @@ def test_order_of_the_stream_decides(spark, sources):
     assert got == {i: us(f"2020-06-{d:02}T12:00:00") for i, d in enumerate([1, 2, 3, 13, 14, 15])}
 
 
+def test_long_paths_equal_a_plain_pass():
+    rng = random.Random(5)
+    e, k, c = random_stream(rng, 3000)
+    best, back = np.where(k[0] < 0, np.inf, c[0]), []
+    for i in range(1, len(e)):
+        step = np.array([[np.inf if k[i - 1][a] < 0 or k[i][b] < 0 else SWITCH * (k[i - 1][a] != k[i][b]) + BACKWARD * (e[i][b] < e[i - 1][a]) for b in range(2)] for a in range(2)])
+        back.append((best[:, None] + step).argmin(0))
+        best = (best[:, None] + step).min(0) + np.where(k[i] < 0, np.inf, c[i])
+    path = [int(best.argmin())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    assert viterbi(e, k, c).tolist() == path[::-1]
+    assert _through(e, k, c).min() == pytest.approx(best.min())
+
+
+def test_labels_of_one_source_are_one_stream(spark, sources):
+    rows = [(1, "a", "03/25/2020 10:00:00 +00:00"), (2, "A ", "04/05/2020 10:00:00 +00:00"), (3, "a", "06/26/2020 10:00:00 +00:00")]
+    m = spark.createDataFrame([(i, s, d, None, None) for i, s, d in rows], MAN)
+    none = spark.createDataFrame([], "sidecar_id long, source_label string, raw string")
+    got = {r.rec_id: r.epoch_us for r in manifest_instants(m, none, sources).collect()}
+    assert got[2] == us("2020-04-05T10:00:00")
+
+
+def test_order_is_seen_across_other_notations(spark, sources):
+    rows = [(1, "13/02/2020 10:00:00 +00:00"), (2, "2020-02-14T10:00:00Z"), (3, "04/03/2020 10:00:00 +00:00"), (4, "2020-01-14T10:00:00Z"), (5, "25/03/2020 10:00:00 +00:00")]
+    m = spark.createDataFrame([(i, "nobody", d, None, None) for i, d in rows], MAN)
+    none = spark.createDataFrame([], "sidecar_id long, source_label string, raw string")
+    got = {r.rec_id: r.epoch_us for r in manifest_instants(m, none, sources).collect()}
+    assert got[3] == us("2020-03-04T10:00:00") and len(got) == 5
+
+
+def test_repeated_undecided_rows_come_out_once_each(spark, sources):
+    m = spark.createDataFrame([(7, "nobody", "04/05/2020 10:00:00 +00:00", None, None)] * 2 + [(7, "nobody", "05/04/2020 10:00:00 +00:00", None, None)], MAN)
+    none = spark.createDataFrame([], "sidecar_id long, source_label string, raw string")
+    assert manifest_instants(m, none, sources).count() == 3
+
+
 def test_sidecar_json(spark):
     texts = {
         '{"photoTakenTime":{"timestamp":"5"}}': "5", '{"photoTakenTime":{"timestamp":5}}': "5", '{"photoTakenTime":{"timestamp":"5"}': None, '{"photoTakenTime":{"timestamp":"5"}} x': None, "[]": None, "null": None, "": None,
