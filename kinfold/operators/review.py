@@ -129,12 +129,13 @@ def similarity_labels(rows: DataFrame, group: str = "group_id") -> DataFrame:
     return held.withColumn("similarity", label).drop("_ref", "_rp", "_d")
 
 
-def nearest_member(rows: DataFrame, group: str = "group_id", key: str = "id", close: int = 8) -> DataFrame:
+def nearest_member(rows: DataFrame, group: str = "group_id", key: str = "id", close: int = 8, small: int = 1000) -> DataFrame:
     """(key, nearest): the other member of the group with the fewest bits between the hashes, the first by key of equals; rows without hash have none.
 
     Members meet by hash value, not row by row: equal hashes of a group are one value with its two first keys. Values at most
-    `close` bits apart meet by an index within the group. Only values without such a neighbour, which groups made of near
-    pairs hardly have, are compared with all values of their group.
+    `close` bits apart meet by an index within the group. Values without such a neighbour are compared with all values of
+    their group if these are no more than `small`; in larger groups the index is asked again for wider and wider radii, and
+    only values more than 31 bits from all others, of which a large group has none but by design, are compared with all.
     """
     from ..functions.labels import hex_hash
     from ..runtime import Scratch
@@ -147,7 +148,18 @@ def nearest_member(rows: DataFrame, group: str = "group_id", key: str = "id", cl
     pairs = scratch.keep(hash_value_pairs(values.select("g", "h"), close, within=["g"]))
     both = pairs.select("g", F.col("a").alias("h"), F.col("b").alias("o"), "bits").unionByName(pairs.select("g", F.col("b").alias("h"), F.col("a").alias("o"), "bits"))
     alone = values.where("n = 1").select("g", "h").join(both.select("g", "h").distinct(), ["g", "h"], "left_anti")
-    far = alone.join(values.select("g", F.col("h").alias("o")), "g").where("h <> o").select("g", "h", "o", F.expr("bit_count(h ^ o)").alias("bits"))
+    large = values.groupBy("g").count().where(F.col("count") > small).select("g")
+    left = scratch.keep(alone.join(large, "g", "left_semi"))
+    alone = alone.join(large, "g", "left_anti")
+    for radius in (16, 20, 24, 31):
+        if left.isEmpty():
+            break
+        pairs = scratch.keep(hash_value_pairs(values.join(left.select("g").distinct(), "g", "left_semi").select("g", "h"), radius, within=["g"]))
+        wider = pairs.select("g", F.col("a").alias("h"), F.col("b").alias("o"), "bits").unionByName(pairs.select("g", F.col("b").alias("h"), F.col("a").alias("o"), "bits"))
+        wider = scratch.keep(wider.join(left, ["g", "h"], "left_semi"))
+        both = both.unionByName(wider)
+        left = scratch.keep(left.join(wider.select("g", "h").distinct(), ["g", "h"], "left_anti"))
+    far = alone.union(left).join(values.select("g", F.col("h").alias("o")), "g").where("h <> o").select("g", "h", "o", F.expr("bit_count(h ^ o)").alias("bits"))
     own = values.select("g", "h", F.col("h").alias("o"), F.lit(0).alias("bits"))
     near = (
         both.unionByName(far).unionByName(own).join(heads, ["g", "o"])

@@ -4,7 +4,8 @@ import pytest
 
 from kinfold.operators import classify as C
 from kinfold.operators.components import components
-from kinfold.operators.similarity import hash_value_pairs, similar_pairs, word_budgets
+from kinfold.operators import similarity
+from kinfold.operators.similarity import Blocks, best_blocks, hash_value_pairs, similar_pairs
 from kinfold.functions.labels import hex_hash
 from pyspark.sql import functions as F
 
@@ -134,7 +135,7 @@ def test_same_as_loops(spark, seed, threshold):
     assert len(got) == len(rows)
 
 
-@pytest.mark.parametrize("radius", [0, 1, 4, 7, 10, 12])
+@pytest.mark.parametrize("radius", [0, 1, 4, 7, 10, 12, 20, 40])
 def test_index_equals_brute_force(spark, radius):
     rng = random.Random(radius)
     centres = [rng.getrandbits(63) for _ in range(12)]
@@ -144,10 +145,27 @@ def test_index_equals_brute_force(spark, radius):
     assert a == b and len(a) == len({x[:2] for x in a})
 
 
-def test_word_budgets():
-    assert all(sum(t + 1 for t in word_budgets(r)) == r + 1 for r in range(20))
+@pytest.mark.parametrize("count", [2, 3, 4, 5, 6, 8])
+def test_every_cut_of_the_words_finds_all_pairs(spark, count, monkeypatch):
+    rng = random.Random(count)
+    base = [rng.getrandbits(64) for _ in range(15)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    values = {signed(flip(rng, h, n)) for h in base for n in range(0, 6)}
+    frame = spark.createDataFrame([(v,) for v in values], "h long")
+    want = sorted(map(tuple, hash_value_pairs(frame, 4, "brute").collect()))
+    monkeypatch.setattr(similarity, "best_blocks", lambda rows, radius: Blocks.of(count, radius))
+    assert sorted(map(tuple, hash_value_pairs(frame, 4).collect())) == want
+
+
+def test_blocks():
+    for n in (2, 3, 4, 5, 6, 8):
+        for r in range(65):
+            b = Blocks.of(n, r)
+            assert sum(t + 1 for t in b.budgets) == r + 1 and sum(w for _, w in b.words) == 64
+    # More hashes, wider words: the share of pairs that meet shrinks.
+    assert len(best_blocks(10**3, 10).words) > len(best_blocks(10**7, 10).words)
     with pytest.raises(ValueError):
-        word_budgets(65)
+        best_blocks(10, 65)
 
 
 def test_rows_of_equal_hashes_never_meet(spark):

@@ -172,6 +172,7 @@ def test_nearest_member(spark):
         near = [((int(r[5], 16) ^ int(o[5], 16)).bit_count(), o[0]) for o in data if r[5] and o[5] and o[0] != r[0] and o[7] == r[7]]
         if near:
             want[r[0]] = min(near)[1]
+    assert {r.id: r.nearest for r in R.nearest_member(frame(spark, data), small=3).collect()} == want
     assert {r.id: r.nearest for r in R.nearest_member(frame(spark, data)).collect()} == want
 
 
