@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import align_manifest
@@ -111,16 +111,90 @@ def decide(rows: DataFrame, paths: DataFrame, decision: str, locked_rows: str =
     return hit.select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns])
 
 
-def execute(rows: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """Outcomes of the decisions within the scope (source_path; None: all): delete gives deleted, ignore gives ignored; locked rows are spared. Files are not touched."""
-    inside = rows.withColumn("_in", F.lit(True)) if scope is None else rows.join(scope.select("source_path").distinct().withColumn("_in", F.lit(True)), "source_path", "left")
-    free = F.coalesce("_in", F.lit(False)) & (F.coalesce(F.col("is_locked").cast("int"), F.lit(0)) == 0)
-    gone, passed = free & (F.col("user_decision") == "delete"), free & (F.col("user_decision") == "ignore")
+def _within(rows: DataFrame, scope: DataFrame | None) -> DataFrame:
+    """Adds _in: whether the row's path is in the scope (source_path; None: all are)."""
+    if scope is None:
+        return rows.withColumn("_in", F.lit(True))
+    hit = rows.join(scope.select("source_path").distinct().withColumn("_hit", F.lit(True)), "source_path", "left")
+    return hit.withColumn("_in", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def _locked() -> Column:
+    return F.coalesce(F.col("is_locked").cast("int"), F.lit(0)) != 0
+
+
+def lock_gate(rows: DataFrame, verdict: str, scope: DataFrame | None = None) -> DataFrame:
+    """What becomes of locked rows decided as delete before the decisions are executed.
+
+    unlock: they lose the lock, so they go with the others. clear: they lose the decision and keep the lock. cancel: nothing
+    changes. Rows outside the scope, and rows of other decisions, are left as they are.
+    """
+    if verdict not in ("unlock", "clear", "cancel"):
+        raise ValueError(f"unknown verdict {verdict}")
+    if verdict == "cancel":
+        return rows
+    hit = F.col("_in") & _locked() & F.col("user_decision").eqNullSafe("delete")
+    zero = F.lit(0).cast(dict(rows.dtypes)["is_locked"])
+    new = {"is_locked": F.when(hit, zero).otherwise(F.col("is_locked"))} if verdict == "unlock" else {"user_decision": F.when(hit, "").otherwise(F.col("user_decision"))}
+    return _within(rows, scope).select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns])
+
+
+def execute(rows: DataFrame, scope: DataFrame | None = None, verdict: str | None = None) -> DataFrame:
+    """Outcomes of the decisions within the scope (source_path; None: all): delete gives deleted, ignore gives ignored. Files are not touched.
+
+    Locked rows decided as delete meet the lock gate: unlock and clear as in `lock_gate`, cancel changes nothing at all if there is
+    one, and without a verdict they are spared. The lock does not stop ignore.
+    """
+    doomed = F.col("user_decision").eqNullSafe("delete")
+    if verdict == "cancel" and not _within(rows, scope).where(F.col("_in") & doomed & _locked()).isEmpty():
+        return rows
+    gated = rows if verdict is None else lock_gate(rows, verdict, scope)
+    gone, passed = F.col("_in") & doomed & ~_locked(), F.col("_in") & F.col("user_decision").eqNullSafe("ignore")
     new = {
         "outcome": F.when(gone, "deleted").when(passed, "ignored").otherwise(F.col("outcome")),
         "executed": F.when(gone, F.lit(1)).when(passed, F.lit(0)).otherwise(F.col("executed")),
     }
-    return inside.select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns])
+    return _within(gated, scope).select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns])
+
+
+def delete_paths(rows: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """(source_path) of the delete plan: the selected paths (default: those decided as delete) without those of locked rows.
+
+    Selected paths that the manifest does not know stay in the plan. `delete_plan` counts locked rows as selected all the same.
+    """
+    chosen = rows.where(F.col("user_decision") == "delete") if selected is None else selected
+    return without_locked(chosen.select("source_path").distinct(), rows)
+
+
+def without_locked(paths: DataFrame, rows: DataFrame) -> DataFrame:
+    """The paths without those of a locked row."""
+    return paths.join(rows.where(_locked()).select("source_path").distinct(), "source_path", "left_anti")
+
+
+def prune_singles(rows: DataFrame, policy: str = "always", locked_rows: str = "unlocked_only", plain: bool = True, actioned: bool = True, group: str = "group_id") -> DataFrame:
+    """The rows with those alone in their group dismissed, by policy.
+
+    never: none. always: plain ones and ones with a decision. ask: those of the two kinds that were agreed to. Locked ones go only
+    with locked_rows unlock, whatever the policy; unlocked_only and cancel leave them, and only them.
+    """
+    from .review import single_rows
+
+    if policy not in ("never", "always", "ask") or locked_rows not in ("unlocked_only", "unlock", "cancel"):
+        raise ValueError(f"unknown policy {policy} or {locked_rows}")
+    if policy == "never":
+        return rows
+    kinds = [k for k, yes in (("plain", plain or policy == "always"), ("actioned", actioned or policy == "always"), ("locked", locked_rows == "unlock")) if yes]
+    return dismiss(rows, single_rows(rows, group).where(F.col("kind").isin(kinds)))
+
+
+def export_decisions(rows: DataFrame, changes: DataFrame, path: str, source: str | None = None) -> None:
+    """Writes the manifest with changed decisions (source_path, user_decision) to a copy at another path.
+
+    The table the rows were read from (source) is not changed; a path equal to it raises ValueError.
+    """
+    if source is not None and path.rstrip("/") == source.rstrip("/"):
+        raise ValueError("the copy needs a path of its own")
+    write_manifest(set_decisions(rows, changes), path)
 
 
 def write_audit(results: DataFrame, path: str) -> None:

@@ -206,15 +206,48 @@ def counters(rows: DataFrame, decision: str | None = None) -> DataFrame:
 
 
 def delete_plan(rows: DataFrame, group: str = "group_id", selected: Column | None = None) -> DataFrame:
-    """(group, total, selected, is_full_delete) of every group with a selected row; the default selects the rows decided as delete."""
+    """(group, total, selected, is_full_delete) of every group, also those of which nothing is selected; the default selects the rows decided as delete."""
     chosen = selected if selected is not None else F.col("user_decision") == "delete"
     sums = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("total"), F.count_if(chosen).alias("selected"))
-    return sums.where("selected > 0").withColumn("is_full_delete", (F.col("total") > 0) & (F.col("selected") == F.col("total")))
+    return sums.withColumn("is_full_delete", (F.col("total") > 0) & (F.col("selected") == F.col("total")))
 
 
-def complete_deletes(rows: DataFrame, group: str = "group_id") -> DataFrame:
-    """Groups in which every row is decided as delete."""
-    return rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.bool_and(F.coalesce("user_decision", F.lit("")) == "delete").alias("all_")).where("all_").select(group)
+def complete_deletes(rows: DataFrame, group: str = "group_id", scope: DataFrame | None = None) -> DataFrame:
+    """Groups in which every row is decided as delete; with a scope (source_path), every row of it, and at least one lies in it."""
+    inside = rows if scope is None else rows.join(scope.select("source_path").distinct(), "source_path", "left_semi")
+    return inside.where(F.col(group).isNotNull()).groupBy(group).agg(F.bool_and(F.coalesce("user_decision", F.lit("")) == "delete").alias("all_")).where("all_").select(group)
+
+
+def known_paths(rows: DataFrame, paths: DataFrame, known: bool = True) -> DataFrame:
+    """Rows whose path is among the paths (source_path), or is not."""
+    return rows.join(paths.select("source_path").where("source_path is not null").distinct(), "source_path", "left_semi" if known else "left_anti")
+
+
+def edge_bag(matches: DataFrame, a: str = "source_path", b: str = "duplicate_of") -> DataFrame:
+    """(a, b) of every match in both directions, repeated ones as often as they are."""
+    return matches.select(F.explode(F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.struct(F.col(b).alias("a"), F.col(a).alias("b")))).alias("e")).select("e.*")
+
+
+def union_of_sources(sources: dict[str, DataFrame]) -> DataFrame:
+    """(source_path, origin) of all rows of several tables, repeated ones as often as they are."""
+    parts = [df.select("source_path", F.lit(name).alias("origin")) for name, df in sources.items()]
+    if not parts:
+        raise ValueError("no sources")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(source_path) in both, once each; NULL paths are in none."""
+    return known_paths(a.select("source_path").where("source_path is not null").distinct(), b)
+
+
+def provenance(rows: DataFrame, path: str = "source_path", label: str = "source_label") -> DataFrame:
+    """(path, labels) of every path: the labels it was found under, sorted."""
+    some = rows.where(F.col(path).isNotNull() & F.col(label).isNotNull())
+    return some.groupBy(F.col(path).alias("path")).agg(F.sort_array(F.collect_set(label)).alias("labels"))
 
 
 def single_rows(rows: DataFrame, group: str = "group_id") -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import parse_threshold, resolution_text
+from ..functions.labels import parse_threshold
 from ..functions.paths import basename, device_key, folder
 
 # Comparisons that a pattern may name.
@@ -17,6 +17,29 @@ DATES = ("Creation Date", "Shot Date")
 TIER = {"KEEP": 1, "UNDATED": 1, "": 1, "EXACT": 2, "REVIEW_DUPLICATE": 3}
 
 
+def decimal_text(x: Column) -> Column:
+    """A double as it is usually read: 0.0005 rather than 5.0E-4; an exponent only below 1e-4 and from 1e16, as in 1e-05."""
+    text = x.cast("string")
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    power = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    figures = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"^-?(.*)E", 1), r"\.0$", ""), r"\.", "")
+    rest = F.substr(figures, F.lit(2))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)
+    padded = F.rpad(figures, F.greatest(power + 2, F.length(figures)), "0")
+    large = F.concat(F.left(padded, power + 1), F.lit("."), F.substr(padded, power + 2))
+    tiny = F.concat(F.left(figures, F.lit(1)), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    spelled = F.when(power.between(-4, -1), small).when(power.between(0, 15), large).otherwise(tiny)
+    named = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.coalesce(named, F.when(power.isNull(), text).otherwise(F.concat(sign, spelled)))
+
+
+def date_text(x: Column) -> Column:
+    """A time as text, its fraction, if any, in six digits."""
+    text = x.cast("string")
+    fraction = F.regexp_extract(text, r":\d{2}\.(\d{1,5})$", 1)
+    return F.when(fraction != "", F.concat(F.substring_index(text, ".", 1), F.lit("."), F.rpad(fraction, 6, "0"))).otherwise(text)
+
+
 def text_field(name: str) -> Column:
     """A field of a manifest row as text; NULL for fields without a text (Similarity, Group Count)."""
     path = F.col("source_path")
@@ -24,11 +47,11 @@ def text_field(name: str) -> Column:
         "File Name": basename(path),
         "Folder": folder(path),
         "Action": F.col("user_decision"),
-        "Score": F.col("score").cast("string"),
+        "Score": decimal_text(F.col("score")),
         "Size (Bytes)": F.col("file_size_bytes").cast("string"),
-        "Resolution": F.when((F.col("pixel_width") != 0) & (F.col("pixel_height") != 0), resolution_text(F.col("pixel_width"), F.col("pixel_height"), "×")),
-        "Creation Date": F.col("creation_date").cast("string"),
-        "Shot Date": F.col("shot_date").cast("string"),
+        "Resolution": F.when((F.col("pixel_width") != 0) & (F.col("pixel_height") != 0), F.concat_ws("×", "pixel_width", "pixel_height")),
+        "Creation Date": date_text(F.col("creation_date")),
+        "Shot Date": date_text(F.col("shot_date")),
         "Lock": F.when(F.col("is_locked").cast("int") != 0, "Locked").otherwise(""),
     }
     return fields.get(name, F.lit(None).cast("string"))

@@ -74,11 +74,12 @@ def pr11_candidates(spark, d):
 
 
 @query(f"""{W} SELECT id, regexp_extract(source_path, '([^/]*)$', 1) AS name, regexp_replace(source_path, '/?[^/]*$', '') || '/' AS folder, user_decision AS decision,
-CASE WHEN coalesce(is_locked, 0) <> 0 THEN 'Locked' ELSE '' END AS lock, CASE WHEN pixel_width > 0 AND pixel_height > 0 THEN pixel_width || '×' || pixel_height END AS resolution, CAST(file_size_bytes AS VARCHAR) AS size FROM manifest""")
+CASE WHEN coalesce(is_locked, 0) <> 0 THEN 'Locked' ELSE '' END AS lock, CASE WHEN pixel_width <> 0 AND pixel_height <> 0 THEN pixel_width || '×' || pixel_height END AS resolution, CAST(file_size_bytes AS VARCHAR) AS size,
+CASE WHEN isnan(score) THEN 'nan' WHEN isinf(score) THEN CASE WHEN score > 0 THEN 'inf' ELSE '-inf' END ELSE regexp_replace(regexp_replace(CAST(score AS VARCHAR), '^(-?[0-9]+)$', '\\1.0'), 'e([-+])([0-9])$', 'e\\10\\2') END AS score,
+CASE WHEN shot_date = date_trunc('second', shot_date) THEN strftime(shot_date, '%Y-%m-%d %H:%M:%S') ELSE strftime(shot_date, '%Y-%m-%d %H:%M:%S.%f') END AS shot FROM manifest""")
 def pr12_text_fields(spark, d):
-    names = {"name": "File Name", "folder": "Folder", "decision": "Action", "lock": "Lock", "resolution": "Resolution", "size": "Size (Bytes)"}
-    rows = manifest(spark, d)
-    return rows.select("id", *[S.text_field(f).alias(n) if n != "resolution" else F.nullif(S.text_field(f), F.lit("")).alias(n) for n, f in names.items()])
+    names = {"name": "File Name", "folder": "Folder", "decision": "Action", "lock": "Lock", "resolution": "Resolution", "size": "Size (Bytes)", "score": "Score", "shot": "Shot Date"}
+    return manifest(spark, d).select("id", *[S.text_field(f).alias(n) for n, f in names.items()])
 
 
 def _numbers(manifest):
@@ -155,15 +156,13 @@ def a16_tag_census(spark, d):
 
 @query("SELECT path, list_sort(list_distinct(list(source_label))) AS labels FROM (SELECT source_path AS path, source_label FROM migration_manifest WHERE source_path IS NOT NULL AND source_label IS NOT NULL) GROUP BY 1")
 def u6_provenance(spark, d):
-    m = table(spark, d, "migration_manifest").where("source_path is not null and source_label is not null")
-    return m.groupBy(F.col("source_path").alias("path")).agg(F.sort_array(F.collect_set("source_label")).alias("labels"))
+    return R.provenance(table(spark, d, "migration_manifest"))
 
 
 @query(f"{W} SELECT DISTINCT source_path FROM manifest WHERE user_decision = 'delete' EXCEPT SELECT source_path FROM manifest WHERE coalesce(is_locked, 0) <> 0")
 def u7_plan_without_locked(spark, d):
     m = manifest(spark, d)
-    locked = m.where("coalesce(is_locked, 0) <> 0").select("source_path")
-    return m.where("user_decision = 'delete'").select("source_path").distinct().join(locked, "source_path", "left_anti")
+    return M.without_locked(m.where("user_decision = 'delete'").select("source_path").distinct(), m)
 
 
 @query(f"{W} SELECT id, CASE WHEN source_path = (SELECT min(source_path) FROM manifest) THEN 'ignore' ELSE user_decision END AS user_decision FROM manifest")
@@ -173,11 +172,19 @@ def d3_single_decision(spark, d):
     return M.set_decisions(m, change).select("id", "user_decision")
 
 
-@query(f"""{W}, ones AS (SELECT source_path FROM manifest WHERE group_id IS NOT NULL QUALIFY count(*) OVER (PARTITION BY group_id) = 1)
-SELECT id, CASE WHEN source_path IN (FROM ones) THEN 'ignored' ELSE outcome END AS outcome FROM manifest""")
-def d11_dismiss_singles(spark, d):
-    m = manifest(spark, d)
-    return M.dismiss(m, R.single_rows(m)).select("id", "outcome")
+def _singles(which: str) -> str:
+    return f"""{W}, ones AS (SELECT source_path, coalesce(is_locked, 0) <> 0 AS locked, coalesce(user_decision, '') <> '' AS actioned FROM manifest WHERE group_id IS NOT NULL QUALIFY count(*) OVER (PARTITION BY group_id) = 1)
+SELECT id, CASE WHEN source_path IN (SELECT source_path FROM ones WHERE {which}) THEN 'ignored' ELSE outcome END AS outcome FROM manifest"""
+
+
+@query(_singles("NOT locked"))
+def d11_prune_singles(spark, d):
+    return M.prune_singles(manifest(spark, d)).select("id", "outcome")
+
+
+@query(_singles("locked OR NOT actioned"))
+def d11_prune_plain_and_unlocked(spark, d):
+    return M.prune_singles(manifest(spark, d), "ask", "unlock", actioned=False).select("id", "outcome")
 
 
 @query(f"{W} SELECT count_if(user_decision = 'delete') AS decided, count_if(user_decision = 'delete') AS deletes, 0::BIGINT AS hidden_deletes FROM manifest")

@@ -92,7 +92,7 @@ def a6_group_rollup_all_dates(spark, d):
     return R.group_rollup(dated_manifest(spark, d))
 
 
-@query(f"{W} SELECT *, total = selected AS is_full_delete FROM (SELECT group_id, count(*) AS total, count_if(user_decision = 'delete') AS selected FROM manifest WHERE group_id IS NOT NULL GROUP BY 1) WHERE selected > 0")
+@query(f"{W} SELECT *, total = selected AS is_full_delete FROM (SELECT group_id, count(*) AS total, count_if(user_decision = 'delete') AS selected FROM manifest WHERE group_id IS NOT NULL GROUP BY 1)")
 def a7_delete_plan(spark, d):
     return R.delete_plan(manifest(spark, d))
 
@@ -201,9 +201,10 @@ def j9_group_of_path(spark, d):
     return R.group_of_path(table(spark, d, "manifest_row").select("match_id", "source_path"), known).select("match_id", "group_number")
 
 
-@query(f"{W} SELECT id FROM manifest m WHERE EXISTS (SELECT 1 FROM incoming_manifest i WHERE i.source_path = m.source_path)")
+@query(f"{W} SELECT id, source_path IN (SELECT source_path FROM manifest_row WHERE source_path IS NOT NULL) AS known FROM manifest WHERE source_path IS NOT NULL")
 def j10_known_paths(spark, d):
-    return manifest(spark, d).join(table(spark, d, "incoming_manifest").select("source_path").distinct(), "source_path", "left_semi").select("id")
+    m, paths = manifest(spark, d).where("source_path is not null"), table(spark, d, "manifest_row")
+    return R.known_paths(m, paths).select("id", F.lit(True).alias("known")).unionByName(R.known_paths(m, paths, known=False).select("id", F.lit(False).alias("known")))
 
 
 # -- selection ------------------------------------------------------------------------------------------------
@@ -371,14 +372,48 @@ def d8_decide_and_unlock(spark, d):
     return M.decide(manifest(spark, d), table(spark, d, "manifest_row"), "delete", "unlock").select("id", "is_locked", "user_decision")
 
 
-@query(f"{W} SELECT id, CASE WHEN coalesce(is_locked, 0) = 0 AND user_decision = 'delete' THEN 'deleted' WHEN coalesce(is_locked, 0) = 0 AND user_decision = 'ignore' THEN 'ignored' ELSE outcome END AS outcome FROM manifest")
+@query(f"{W} SELECT id, CASE WHEN user_decision = 'delete' AND coalesce(is_locked, 0) = 0 THEN 'deleted' WHEN user_decision = 'ignore' THEN 'ignored' ELSE outcome END AS outcome FROM manifest")
 def d9_execute(spark, d):
     return M.execute(manifest(spark, d)).select("id", "outcome")
 
 
-@query(f"{W} SELECT DISTINCT source_path FROM manifest WHERE user_decision = 'delete' AND coalesce(is_locked, 0) = 0")
+_SCOPE = "source_path IN (SELECT source_path FROM manifest_row WHERE source_path IS NOT NULL)"
+
+
+@query(f"{W} SELECT id, CASE WHEN NOT {_SCOPE} THEN outcome WHEN user_decision = 'delete' THEN 'deleted' WHEN user_decision = 'ignore' THEN 'ignored' ELSE outcome END AS outcome FROM manifest")
+def d9_execute_unlocked_in_scope(spark, d):
+    return M.execute(manifest(spark, d), table(spark, d, "manifest_row"), "unlock").select("id", "outcome")
+
+
+@query(f"{W} SELECT id, user_decision, is_locked, outcome FROM manifest")
+def d9_execute_cancelled(spark, d):
+    # One locked row decided as delete is planted, so that the gate has something to ask about.
+    m = manifest(spark, d)
+    first = F.col("id") == m.agg(F.min("id")).first()[0]
+    planted = m.withColumns({
+        "old": F.struct("user_decision", "is_locked"), "user_decision": F.when(first, "delete").otherwise(F.col("user_decision")), "is_locked": F.when(first, 1).otherwise(F.col("is_locked")),
+    })
+    return M.execute(planted, None, "cancel").select("id", "old.user_decision", "old.is_locked", "outcome")
+
+
+@query(f"{W} SELECT id, is_locked, CASE WHEN {_SCOPE} AND user_decision = 'delete' AND coalesce(is_locked, 0) <> 0 THEN '' ELSE user_decision END AS user_decision FROM manifest")
+def d8_gate_clears(spark, d):
+    return M.lock_gate(manifest(spark, d), "clear", table(spark, d, "manifest_row")).select("id", "is_locked", "user_decision")
+
+
+@query(f"{W} SELECT id, CASE WHEN {_SCOPE} AND user_decision = 'delete' AND coalesce(is_locked, 0) <> 0 THEN 0 ELSE is_locked END AS is_locked, user_decision FROM manifest")
+def d8_gate_unlocks(spark, d):
+    return M.lock_gate(manifest(spark, d), "unlock", table(spark, d, "manifest_row")).select("id", "is_locked", "user_decision")
+
+
+@query(f"{W} SELECT DISTINCT source_path FROM manifest WHERE user_decision = 'delete' AND source_path NOT IN (SELECT source_path FROM manifest WHERE coalesce(is_locked, 0) <> 0 AND source_path IS NOT NULL)")
 def d10_delete_paths(spark, d):
-    return manifest(spark, d).where("user_decision = 'delete' and coalesce(is_locked, 0) = 0").select("source_path").distinct()
+    return M.delete_paths(manifest(spark, d))
+
+
+@query(f"{W} SELECT group_id FROM manifest WHERE group_id IS NOT NULL AND {_SCOPE} GROUP BY 1 HAVING count(*) = count_if(user_decision = 'delete')")
+def a13_complete_deletes_in_scope(spark, d):
+    return R.complete_deletes(manifest(spark, d), scope=table(spark, d, "manifest_row"))
 
 
 @query(f"{W}, rest AS (SELECT * FROM manifest WHERE source_path NOT IN (SELECT source_path FROM manifest_row WHERE source_path IS NOT NULL)) SELECT id FROM rest WHERE group_id IS NOT NULL QUALIFY count(*) OVER (PARTITION BY group_id) >= 2")
@@ -395,19 +430,17 @@ def u5_without_group(spark, d):
 
 @query(f"{W} SELECT DISTINCT source_path FROM manifest WHERE user_decision = 'delete' INTERSECT SELECT source_path FROM manifest_row")
 def u3_filter_and_selection(spark, d):
-    return R.of_decision(manifest(spark, d), "delete").select("source_path").intersect(table(spark, d, "manifest_row").select("source_path"))
+    return R.in_both(R.of_decision(manifest(spark, d), "delete"), table(spark, d, "manifest_row"))
 
 
 @query(f"{W} SELECT source_path, 'old' AS origin FROM manifest UNION ALL SELECT source_path, 'new' FROM incoming_manifest")
 def u2_union_of_sources(spark, d):
-    old, new = manifest(spark, d).select("source_path", F.lit("old").alias("origin")), table(spark, d, "incoming_manifest").select("source_path", F.lit("new").alias("origin"))
-    return old.unionByName(new)
+    return R.union_of_sources({"old": manifest(spark, d), "new": table(spark, d, "incoming_manifest")})
 
 
 @query("SELECT source_path AS a, duplicate_of AS b FROM manifest_row UNION ALL SELECT duplicate_of, source_path FROM manifest_row")
 def u1_edge_bag(spark, d):
-    m = table(spark, d, "manifest_row")
-    return m.select(F.col("source_path").alias("a"), F.col("duplicate_of").alias("b")).unionByName(m.select(F.col("duplicate_of").alias("a"), F.col("source_path").alias("b")))
+    return R.edge_bag(table(spark, d, "manifest_row"))
 
 
 # -- the table ------------------------------------------------------------------------------------------------
@@ -435,11 +468,11 @@ def s10_audit(spark, d):
     return spark.read.option("header", True).csv(at).select("GroupNumber", "FilePath", "Success")
 
 
-@query(f"{W} SELECT id, user_decision FROM manifest")
+@query(f"{W} SELECT id, CASE WHEN {_SCOPE} THEN 'ignore' ELSE user_decision END AS user_decision FROM manifest")
 def s9_export_copy(spark, d):
     at = f"{Scratch(spark, 'export').root}/copy"
-    rows = manifest(spark, d)
-    M.write_manifest(M.set_decisions(rows, rows.select("source_path", F.lit(None).cast("string").alias("user_decision"))), at)
+    changes = table(spark, d, "manifest_row").select("source_path", F.lit("ignore").alias("user_decision")).where("source_path is not null")
+    M.export_decisions(manifest(spark, d), changes, at, source=f"{d}/migration_manifest.parquet")
     return M.read_manifest(spark, at).select("id", "user_decision")
 
 

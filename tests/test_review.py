@@ -268,3 +268,59 @@ def test_stream_appends_once(spark, tmp_path):
         for _ in range(2):
             ingest.append_fingerprints(spark.readStream.schema(schema).parquet(source), target, check).awaitTermination()
     assert sorted(map(tuple, ingest.fingerprints(spark, target).collect())) == [("a", "1"), ("b", "2"), ("c", "3")]
+
+
+DECIDED = "source_path string, group_id string, user_decision string, is_locked int, outcome string, executed int"
+ROWS = [
+    ("a", "1", "delete", 1, None, None), ("b", "1", "delete", 0, None, None), ("c", "1", "ignore", 1, None, None), ("d", "2", "delete", 1, "", 0), ("e", "2", None, None, None, None), ("f", None, "delete", None, None, None),
+    ("g", "3", "", 0, None, None), ("h", "4", "delete", 0, None, None), ("i", "5", "keep", 1, None, None),
+]
+
+
+def by_path(df, *columns):
+    return {r.source_path: tuple(r[c] for c in columns) if len(columns) > 1 else r[columns[0]] for r in df.collect()}
+
+
+def test_lock_gate_and_execution(spark):
+    rows, scope = spark.createDataFrame(ROWS, DECIDED), spark.createDataFrame([("a",), ("b",), ("c",), (None,), ("zz",)], "source_path string")
+    old = by_path(rows, "user_decision", "is_locked")
+    assert by_path(M.lock_gate(rows, "clear", scope), "user_decision", "is_locked") == old | {"a": ("", 1)}
+    assert by_path(M.lock_gate(rows, "unlock"), "user_decision", "is_locked") == old | {"a": ("delete", 0), "d": ("delete", 0)}
+    assert by_path(M.lock_gate(rows, "cancel"), "user_decision", "is_locked") == old
+    before = by_path(rows, "outcome")
+    assert by_path(M.execute(rows), "outcome") == before | {"b": "deleted", "c": "ignored", "f": "deleted", "h": "deleted"}
+    assert by_path(M.execute(rows, scope, "unlock"), "outcome") == before | {"a": "deleted", "b": "deleted", "c": "ignored"}
+    assert by_path(M.execute(rows, scope, "clear"), "outcome") == before | {"b": "deleted", "c": "ignored"}
+    assert by_path(M.execute(rows, scope, "cancel"), "outcome") == before
+    free = spark.createDataFrame([("b",), ("c",)], "source_path string")
+    assert by_path(M.execute(rows, free, "cancel"), "outcome") == before | {"b": "deleted", "c": "ignored"}
+    assert {r.source_path for r in M.delete_paths(rows).collect()} == {"b", "f", "h"}
+    assert {r.source_path for r in M.delete_paths(rows, scope).collect()} == {"b", "zz", None}
+    plan = {r.group_id: (r.total, r.selected, r.is_full_delete) for r in R.delete_plan(rows).collect()}
+    assert plan == {"1": (3, 2, False), "2": (2, 1, False), "3": (1, 0, False), "4": (1, 1, True), "5": (1, 0, False)}
+    assert [r.group_id for r in R.complete_deletes(rows).collect()] == ["4"]
+    two = spark.createDataFrame([("a",), ("b",), ("e",)], "source_path string")
+    assert [r.group_id for r in R.complete_deletes(rows, scope=two).collect()] == ["1"]
+    with pytest.raises(ValueError):
+        M.lock_gate(rows, "maybe")
+
+
+def test_pruning_of_single_rows(spark):
+    rows = spark.createDataFrame(ROWS, DECIDED)
+    gone = lambda *a, **k: {r.source_path for r in M.prune_singles(rows, *a, **k).where("outcome = 'ignored'").collect()}
+    assert gone() == {"g", "h"} and gone("never", "unlock") == set() and gone("always", "unlock", plain=False) == {"g", "h", "i"}
+    assert gone("ask", actioned=False) == {"g"} and gone("ask", "unlock", plain=False, actioned=False) == {"i"} and gone("ask", "cancel") == {"g", "h"}
+
+
+def test_fields_as_text(spark):
+    values = [0.0005, 0.00001234, 5.0, 0.0, -0.00025, 12345678.5, 1e15, 1e16, 1.5e22, 123456789012.0, 0.1, 1e-5, float("nan"), float("inf"), None]
+    rows = spark.createDataFrame([(v,) for v in values], "score double")
+    assert [r[0] for r in rows.select(S.text_field("Score")).collect()] == [None if v is None else str(v) for v in values]
+    dates = spark.createDataFrame([("2020-01-02 03:04:05.25",), ("2020-01-02 03:04:05",), (None,)], "d string").select(F.col("d").cast("timestamp_ntz").alias("shot_date"))
+    assert [r[0] for r in dates.select(S.text_field("Shot Date")).collect()] == ["2020-01-02 03:04:05.250000", "2020-01-02 03:04:05", None]
+
+
+def test_exports_leave_the_source_alone(spark, tmp_path):
+    rows = spark.createDataFrame(ROWS, DECIDED)
+    with pytest.raises(ValueError):
+        M.export_decisions(rows, rows, f"{tmp_path}/a/", source=f"{tmp_path}/a")
