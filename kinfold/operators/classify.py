@@ -148,6 +148,11 @@ def stem_pairs(rows: DataFrame, t: Thresholds) -> DataFrame:
     return met.where(F.coalesce(hamming(F.col("p"), F.col("q")) <= t.hamming, F.lit(True))).select("src", "dst")
 
 
+def pair_clusters(rows: DataFrame, t: Thresholds | None = None) -> DataFrame:
+    """(path, cluster) of files paired by their names (see `stem_pairs`), such as a raw picture, its developed one and its film: cluster is the smallest path of them."""
+    return components(stem_pairs(rows, t or Thresholds())).select(F.col("node").alias("path"), F.col("component").alias("cluster"))
+
+
 def classify(media: DataFrame, t: Thresholds | None = None, priority: dict[str, int] | None = None, strategy: str = "index") -> DataFrame:
     """The media rows with action, duplicate_of, hamming_distance, match_confidence, reason and group_id.
 

@@ -478,12 +478,12 @@ def s9_export_copy(spark, d):
 
 @query()
 def s1_scan_sources(spark, d):
-    return files.scan_sources(spark, {"data": d}, media_only=False).select("source_label", P.basename(F.col("path")).alias("name"), "size", "unsafe_name")
+    return files.scan_sources(spark, {"data": d}, media_only=False).select("ord", "source_label", P.basename(F.col("path")).alias("name"), "size", "unsafe_name")
 
 
 @query()
 def s4_read_stage(spark, d):
-    return files.read_stage(files.scan_sources(spark, {"data": d}, media_only=False, content=True)).select(P.basename(F.col("path")).alias("name"), "file_type", "sha256")
+    return files.read_stage(files.scan_sources(spark, {"data": d}, media_only=False)).select(P.basename(F.col("path")).alias("name"), "file_type", "sha256", "error")
 
 
 # -- scalar functions -----------------------------------------------------------------------------------------

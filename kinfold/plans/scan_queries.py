@@ -115,9 +115,14 @@ def c4_labels_all_dates(spark, d):
     return C.classify(dated_media(spark, d)).select("ord", "action", "duplicate_of", "hamming_distance", "match_confidence")
 
 
-@query(f"{_C} SELECT ord, 'exact duplicate of ' || regexp_extract(keeper, '([^/]*)$', 1) AS reason FROM exact")
+_NAME = "regexp_extract({}, '([^/]*)$', 1)"
+
+
+@query(f"""{_C} SELECT r.ord, coalesce('exact duplicate of ' || {_NAME.format("e.keeper")}, 'format duplicate of ' || {_NAME.format("f.keeper")} || ' (' || r.file_type || ' vs ' || f.keeper_type || ')',
+'near-duplicate (hamming=' || n.bits || ') of ' || {_NAME.format("n.keeper")}, CASE WHEN exif_date IS NULL THEN 'no EXIF DateTimeOriginal' ELSE 'unique' END) AS reason
+FROM ranked r LEFT JOIN exact e USING (ord) LEFT JOIN formats f USING (ord) LEFT JOIN near n USING (ord)""")
 def c6_reasons(spark, d):
-    return C.classify(media(spark, d)).where(F.col("reason").startswith("exact duplicate")).select("ord", "reason")
+    return C.classify(media(spark, d)).select("ord", "reason")
 
 
 _STEM = r"""named AS (
@@ -132,9 +137,30 @@ _STEM = r"""named AS (
 )"""
 
 
-@query(f"{_M}, {_STEM} SELECT src, dst FROM stems")
+def _with_twins(media):
+    """Each picture with a film of its name beside it, without a hash, and a raw one with the hash turned round."""
+    base = F.regexp_replace("path", r"\.[^./]*$", "")
+    some = media.select("path", "phash")
+    film = some.select(F.concat(base, F.lit(".twin-film")).alias("path"), F.lit(None).cast("string").alias("phash"))
+    return Scratch(media.sparkSession, "twins").keep(some.unionByName(film.distinct()).unionByName(some.groupBy(F.concat(base, F.lit(".twin-raw")).alias("path")).agg(F.reverse(F.min("phash")).alias("phash"))))
+
+
+_TWINS = r"""twins AS (
+  SELECT path, h FROM media UNION ALL SELECT DISTINCT regexp_replace(path, '\.[^./]*$', '') || '.twin-film', NULL FROM media
+  UNION ALL SELECT regexp_replace(path, '\.[^./]*$', '') || '.twin-raw', CAST('0x' || reverse(min(phash)) AS UBIGINT) FROM media GROUP BY 1
+)"""
+
+
+@query(f"{_M}, {_TWINS}, {_STEM.replace('FROM media', 'FROM twins')} SELECT src, dst FROM stems")
 def j3_stem_pairs(spark, d):
-    return C.stem_pairs(media(spark, d), _T)
+    return C.stem_pairs(_with_twins(media(spark, d)), _T)
+
+
+@query(f"""{_M.replace("WITH ", "WITH RECURSIVE ", 1)}, {_TWINS}, {_STEM.replace('FROM media', 'FROM twins')}, ends AS (SELECT src AS a, dst AS b FROM stems UNION SELECT dst, src FROM stems),
+walk(node, c) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM ends GROUP BY a UNION SELECT e.b, min(w.c) FROM walk w JOIN ends e ON e.a = w.node JOIN recurring.walk old ON old.node = e.b WHERE w.c < old.c GROUP BY e.b)
+SELECT node AS path, c AS cluster FROM walk""")
+def j4_pair_clusters(spark, d):
+    return C.pair_clusters(_with_twins(media(spark, d)), _T)
 
 
 _GROUPS = f"""{_LABELS}, {_STEM}, edges AS (
