@@ -4,27 +4,28 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from kinfold.plans import oracles, queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 
-def names():
-    return sorted(n for n in entry.queries() if n in entry.oracle_sql())
-
-
-@pytest.mark.parametrize("name", names())
-def test_query_equals_sql(spark, name):
+def check(spark, query, sql):
     db = duckdb.connect()
     for f in os.listdir(DATA):
         db.execute(f"create view {f[:-8]} as from '{DATA}/{f}'")
-    df = entry.queries()[name](spark, DATA)
+    df = query(spark, DATA)
     columns = sorted(df.columns)
     got = sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
-    want = sorted(db.sql(f"select {', '.join(chr(34) + c + chr(34) for c in columns)} from ({entry.oracle_sql()[name]})").fetchall(), key=repr)
+    want = sorted(db.sql(f"select {', '.join(chr(34) + c + chr(34) for c in columns)} from ({sql})").fetchall(), key=repr)
     assert got == want
 
 
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    check(spark, queries.queries()[name], oracles.oracle_sql()[name])
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
