@@ -15,7 +15,7 @@ from ..functions.labels import colour_distance, hamming, hex_hash
 from ..functions.paths import basename, name_parts, parent
 from ..runtime import Scratch
 from .components import components
-from .similarity import similar_pairs
+from .similarity import hash_value_pairs, similar_pairs
 
 # Order in which formats are preferred as the kept one of equal pictures.
 FORMAT_RANK = {"heic": 0, "jpeg": 1, "png": 2, "gif": 3, "webp": 4}
@@ -135,6 +135,54 @@ def near_copies(pairs: DataFrame) -> DataFrame:
     return both.select("ord", pick("path_i", "path_j").alias("keeper"), pick("bits", "bits").alias("bits"), pick("vote", "vote").alias("vote"))
 
 
+def near_classes(rows: DataFrame, t: Thresholds, strategy: str = "index") -> tuple[DataFrame, DataFrame]:
+    """(members, links): near duplicates by classes, so that rows of two close hashes never all meet.
+
+    A class is the rows of one hash, priority, colour and second hash: all that the gates look at. members is (ord, path, first):
+    every row with the ord of its class's first row. links is (a, a_prio, a_path, b, b_prio, b_path, bits, vote), in both directions,
+    of the classes whose rows are near duplicates, known by their first rows.
+    """
+    kind = ["h", "prio", "mean_color", "dhash"]
+    scratch = Scratch(rows.sparkSession, "near")
+    held = scratch.keep(rows.select("ord", "path", "prio", "mean_color", "dhash", hex_hash(F.col("phash")).alias("h")).where("h is not null"))
+    classes = scratch.keep(held.groupBy(*kind).agg(F.min(F.struct("ord", "path")).alias("r")).select(*kind, F.col("r.ord").alias("first"), F.col("r.path").alias("first_path")))
+    same = [held[c].eqNullSafe(classes[c]) for c in kind]
+    members = held.join(classes, same[0] & same[1] & same[2] & same[3]).select("ord", "path", "first")
+    pairs = hash_value_pairs(classes.select("h").distinct(), t.hamming, strategy)
+    side = lambda s: classes.select(F.col("h").alias("a" if s == "i" else "b"), *[F.col(c).alias(f"{c}_{s}") for c in ("first", "prio", "first_path", "mean_color", "dhash")])
+    met = pairs.join(side("i"), "a").join(side("j"), "b").withColumn("vote", dhash_vote(F.col("dhash_i"), F.col("dhash_j"), t.dhash))
+    met = met.where((F.col("vote") != "disagree") & colour_ok(F.col("mean_color_i"), F.col("mean_color_j"), t.mean_color))
+    one = lambda i, j: met.select(
+        F.col(f"first_{i}").alias("a"), F.col(f"prio_{i}").alias("a_prio"), F.col(f"first_path_{i}").alias("a_path"),
+        F.col(f"first_{j}").alias("b"), F.col(f"prio_{j}").alias("b_prio"), F.col(f"first_path_{j}").alias("b_path"), "bits", "vote",
+    )
+    return scratch.keep(members), scratch.keep(one("i", "j").unionByName(one("j", "i")))
+
+
+def near_copies_of_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(ord, keeper, bits, vote) as `near_copies` gives it, from classes.
+
+    Of an earlier class only the first row can be the first earlier row of another, so a class has one candidate for all its rows. A row
+    without an earlier one comes before the first rows of all close classes of no lower priority, so of a later class, too, only the
+    first row counts, and it is no duplicate of a row before this one if its class's own candidate comes after this one.
+    """
+    head = links.where("a_prio <= b_prio").groupBy(F.col("b").alias("first")).agg(F.min(F.struct("a", "a_path", "bits", "vote")).alias("e"))
+    placed = members.join(head, "first", "left").withColumn("e", F.when(F.col("e.a") < F.col("ord"), F.col("e")))
+    taken = head.select(F.col("first").alias("b"), F.col("e.a").alias("taken"))
+    after = links.where("b_prio < a_prio").join(taken, "b", "left").select(F.col("a").alias("first"), "b", "b_path", "bits", "vote", "taken")
+    later = placed.where("e is null").select("ord", "first").join(after, "first").where("taken is null or taken >= ord")
+    later = later.groupBy("ord").agg(F.min(F.struct("b", "b_path", "bits", "vote")).alias("l"))
+    both = placed.join(later, "ord", "left").where("e is not null or l is not null")
+    pick = lambda a, b: F.when(F.col("e").isNotNull(), F.col(f"e.{a}")).otherwise(F.col(f"l.{b}"))
+    return both.select("ord", pick("a_path", "b_path").alias("keeper"), pick("bits", "bits").alias("bits"), pick("vote", "vote").alias("vote"))
+
+
+def near_edges(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, dst): edges that connect what near pairs of rows connect: the first rows of close classes, and every row with the first row of one class close to its own."""
+    one = links.groupBy(F.col("a").alias("first")).agg(F.min("b_path").alias("dst"))
+    return links.where("a < b").select(F.col("a_path").alias("src"), F.col("b_path").alias("dst")).unionByName(members.join(one, "first").select(F.col("path").alias("src"), "dst"))
+
+
 def stem_pairs(rows: DataFrame, t: Thresholds) -> DataFrame:
     """(src, dst): files of one directory with the same name but for the extension, and the same copy number; not of edited ones.
 
@@ -168,8 +216,8 @@ def classify(media: DataFrame, t: Thresholds | None = None, priority: dict[str,
     exact = scratch.keep(exact_copies(rows))
     open_rows = rows.join(exact.select("ord"), "ord", "left_anti").where(candidates(rows, t))
     formats = scratch.keep(format_copies(open_rows, t))
-    pairs = scratch.keep(near_pairs(open_rows.join(formats.select("ord"), "ord", "left_anti"), t, strategy))
-    near = near_copies(pairs)
+    members, links = near_classes(open_rows.join(formats.select("ord"), "ord", "left_anti"), t, strategy)
+    near = near_copies_of_classes(members, links)
     labels = scratch.keep(
         exact.select("ord", "keeper", F.lit("EXACT").alias("action"), F.lit(None).cast("int").alias("bits"), F.lit("high").alias("conf"), F.lit("exact").alias("why"))
         .unionByName(
@@ -187,7 +235,7 @@ def classify(media: DataFrame, t: Thresholds | None = None, priority: dict[str,
     )
     edges = (
         rows.join(labels, "ord").select(F.col("path").alias("src"), F.col("keeper").alias("dst"))
-        .unionByName(pairs.select(F.col("path_i").alias("src"), F.col("path_j").alias("dst")))
+        .unionByName(near_edges(members, links))
         .unionByName(stem_pairs(rows, t))
     )
     groups = components(edges).select(F.col("node").alias("path"), F.col("component").alias("group_id"))

@@ -83,7 +83,8 @@ def _pairs(spark, d, strategy="index"):
 
 @query(f"{_C} SELECT ord, keeper, CAST(bits AS INT) AS bits, vote FROM near")
 def c3_near_duplicates(spark, d):
-    return C.near_copies(Scratch(spark, "near").keep(_pairs(spark, d)))
+    rows = _open(spark, d)[1]
+    return C.near_copies_of_classes(*C.near_classes(rows.join(C.format_copies(rows, _T), "ord", "left_anti"), _T))
 
 
 @query(f"{_C} SELECT i, j, CAST(bits AS INT) AS bits, vote FROM pairs")

@@ -174,6 +174,33 @@ def test_rows_of_equal_hashes_never_meet(spark):
     assert sorted(map(tuple, got.collect())) == [(i, 9, 1) for i in range(5)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_classes_give_what_pairs_give(spark, seed):
+    rng = random.Random(seed)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    rows = [
+        (i, f"p{i:03}", rng.randrange(3), f"{flip(rng, rng.choice(base), rng.choice([0, 0, 3, 6])):016x}", rng.choice([None, "1,1,1", "90,1,1"]), rng.choice([None, "f0f0f0f0f0f0f0f0", "0f0f0f0f0f0f0f0f"])) for i in range(80)
+    ]
+    frame = spark.createDataFrame(rows, "ord long, path string, prio int, phash string, mean_color string, dhash string")
+    pairs = C.near_pairs(frame, C.Thresholds())
+    members, links = C.near_classes(frame, C.Thresholds())
+    assert sorted(map(tuple, C.near_copies_of_classes(members, links).collect())) == sorted(map(tuple, C.near_copies(pairs).collect()))
+    edges = [(r.src, r.dst) for r in C.near_edges(members, links).collect()]
+    assert unite(edges) == unite([(r.path_i, r.path_j) for r in pairs.collect()])
+
+
+def test_two_close_hot_hashes(spark):
+    n = 3000
+    rows = spark.range(2 * n).select(
+        F.col("id").alias("ord"), F.concat(F.lit("p"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("path"), F.lit(0).alias("prio"),
+        F.when(F.col("id") % 2 == 0, "f0f0f0f0f0f0f0f0").otherwise("f0f0f0f0f0f0f0f1").alias("phash"), F.lit(None).cast("string").alias("mean_color"), F.lit(None).cast("string").alias("dhash"),
+    )
+    members, links = C.near_classes(rows, C.Thresholds())
+    assert members.count() == 2 * n and links.count() == 2 and C.near_edges(members, links).count() <= 2 * n + 2
+    got = {r.ord: r.keeper for r in C.near_copies_of_classes(members, links).collect()}
+    assert got == {i: "p000000" for i in range(1, 2 * n, 2)} | {i: "p000001" for i in range(2, 2 * n, 2)}
+
+
 def test_gates(spark):
     f = lambda p: spark.range(1).select(C.entropy_ok(F.lit(p), 4)).first()[0]
     assert [f(p) for p in ("0" * 16, "f" * 16, "zz", "000000000000000f", "f0")] == [False, False, True, True, True]
