@@ -280,17 +280,38 @@ def k13_rescore_keepers_all_dates(spark, d):
     return best_per_group(rescored)
 
 
-def flagship(spark, d):
+def _decided(media):
     """Classify, group, score, choose keepers: one table from fingerprints to decisions."""
-    rows = C.classify(dated_media(spark, d))
+    absent = {"mtime": "timestamp_ntz", "exif_tag_count": "int", "gps_present": "int", "xmp_derived": "int"}
+    rows = C.classify(media)
     full = rows.select(
         F.col("ord").alias("id"), F.col("path").alias("source_path"), "source_label", "action", "phash", "hamming_distance", "group_id", "reason", "match_confidence",
-        "file_size_bytes", "pixel_width", "pixel_height", F.col("exif_date").alias("shot_date"), "mtime", "exif_tag_count", "gps_present", "xmp_derived",
+        "file_size_bytes", "pixel_width", "pixel_height", F.col("exif_date").alias("shot_date"), *[F.col(c) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in absent.items()],
         F.lit("").alias("user_decision"), F.lit(0).alias("is_locked"),
     )
-    scored = Scratch(spark, "flagship").keep(K.score_rows(full))
+    scored = Scratch(media.sparkSession, "flagship").keep(K.score_rows(full).withColumn("score", F.round("score", 9)))
     chosen = M.auto_select(scored, aggressive=True)
     return chosen.select("id", "source_path", "group_id", "action", "hamming_distance", "reason", F.round("score", 6).alias("score"), "user_decision", "is_locked")
 
 
+def flagship(spark, d):
+    """From fingerprints to decisions, with the manifest's dates in every notation."""
+    return _decided(dated_media(spark, d))
+
+
+@query(f"""{_CR}, {_GROUPS}, manifest AS (
+  SELECT r.ord AS id, r.path AS source_path, coalesce(l.action, CASE WHEN exif_date IS NULL THEN 'UNDATED' ELSE '' END) AS action, CAST(l.bits AS INT) AS hamming_distance, g.component AS group_id, l.conf AS match_confidence,
+    CASE WHEN r.file_size_bytes > 0 THEN r.file_size_bytes END AS file_size_bytes, r.pixel_width, r.pixel_height, r.exif_date AS shot_date, NULL::TIMESTAMP AS mtime, NULL::INT AS exif_tag_count, NULL::INT AS gps_present, NULL::INT AS xmp_derived
+  FROM ranked r LEFT JOIN labelled l USING (ord) LEFT JOIN reach g ON g.node = r.path
+), {_SCORE_SQL.split(MANIFEST_SQL + ", ", 1)[1]}, best AS (
+  SELECT id FROM scored WHERE new_score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY round(new_score, 9) DESC, source_path) = 1
+), doomed AS (
+  SELECT id FROM scored WHERE new_score IS NOT NULL AND action IN ('EXACT', 'REVIEW_DUPLICATE') AND match_confidence IS DISTINCT FROM 'low' AND id NOT IN (FROM best)
+) SELECT m.id, m.source_path, m.group_id, CASE WHEN id IN (FROM best) THEN 'KEEP' ELSE m.action END AS action, m.hamming_distance, round(s.new_score, 6) AS score,
+  CASE WHEN id IN (FROM doomed) THEN 'delete' ELSE '' END AS user_decision, CASE WHEN id IN (FROM best) THEN 1 ELSE 0 END AS is_locked
+FROM manifest m LEFT JOIN (SELECT id, new_score FROM scored) s USING (id)""")
+def flagship_one_date(spark, d):
+    return _decided(media(spark, d)).drop("reason")
+
+
 QUERIES["flagship"] = flagship
