@@ -84,6 +84,9 @@ def test_batch_by_batch_equals_all_at_once(spark):
         new = {r.id for r in out if r.accepted_id is None}
         history.append(frame([x for x in part if x[0] in new]))
     assert sorted(found) == brute(data[:30], data[30:])
+    whole = history.compact(f"{Scratch(spark, 'test').root}/h")
+    assert {(r.h, r.id, r.k) for r in whole.pivots().collect()} == {(r.h, r.id, r.k) for r in history.pivots().collect()}
+    assert {(r.dg, r.id) for r in whole.digests().collect()} == {(r.dg, r.id) for r in history.digests().collect()}
 
 
 def test_chains_need_no_limit(spark):
