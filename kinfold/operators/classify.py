@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashes import bits_apart
 from ..functions.labels import colour_distance, hamming, hex_hash
 from ..functions.paths import basename, name_parts, parent
 from ..runtime import Scratch
@@ -51,7 +52,10 @@ def colour_ok(a: Column, b: Column, most: float) -> Column:
 
 def dhash_vote(a: Column, b: Column, most: int) -> Column:
     """'agree', 'disagree', or 'unknown' if one of the hashes cannot be read."""
-    d = hamming(a, b)
+    return _vote(hamming(a, b), most)
+
+
+def _vote(d: Column, most: int) -> Column:
     return F.when(d.isNull(), "unknown").when(d <= most, "agree").otherwise("disagree")
 
 
@@ -73,24 +77,24 @@ def candidates(rows: DataFrame, t: Thresholds) -> Column:
     )
 
 
-def exact_copies(rows: DataFrame) -> DataFrame:
-    """(ord, keeper): of each content hash, every row but the first by priority and order, with the first.
+def exact_copies(rows: DataFrame, name: str = "path") -> DataFrame:
+    """(ord, keeper): of each content hash, every row but the first by priority and order, with the first one's path, or its other column `name`.
 
     The first is found by a minimum that is aggregated before the shuffle; rows are joined back by hash.
     """
-    keeper = rows.where("sha256 is not null").groupBy("sha256").agg(F.min(F.struct("prio", "ord", "path")).alias("k"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(keeper, "sha256").where(F.col("ord") != F.col("k.ord")).select("ord", F.col("k.path").alias("keeper"))
+    keeper = rows.where("sha256 is not null").groupBy("sha256").agg(F.min(F.struct("prio", "ord", F.col(name).alias("name"))).alias("k"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(keeper, "sha256").where(F.col("ord") != F.col("k.ord")).select("ord", F.col("k.name").alias("keeper"))
 
 
-def format_copies(rows: DataFrame, t: Thresholds) -> DataFrame:
-    """(ord, keeper, keeper_type, vote) of rows with the perceptual hash of a better one in another format or place.
+def format_copies(rows: DataFrame, t: Thresholds, name: str = "path") -> DataFrame:
+    """(ord, keeper, keeper_type, vote) of rows with the perceptual hash of a better one, known by its column `name`, in another format or place.
 
     Groups with a raw file beside lossy ones, or with fewer than two lossy ones, are left alone. The keeper is the
     first by format, priority and order; others must pass the colour gate and not be voted down against it.
     """
     lossy = F.col("file_type").isin(*FORMAT_RANK)
     rank = F.create_map(*[F.lit(x) for kv in FORMAT_RANK.items() for x in kv])[F.col("file_type")]
-    best = F.struct(F.coalesce(rank, F.lit(99)).alias("rank"), "prio", "ord", "path", "file_type", "mean_color", "dhash")
+    best = F.struct(F.coalesce(rank, F.lit(99)).alias("rank"), "prio", "ord", F.col(name).alias("name"), "file_type", "mean_color", "dhash")
     groups = (
         rows.groupBy("phash")
         .agg(F.max((F.col("file_type") == "raw").cast("int")).alias("raw"), F.count_if(lossy).alias("lossy"), F.min(F.when(lossy, best)).alias("k"))
@@ -103,16 +107,23 @@ def format_copies(rows: DataFrame, t: Thresholds) -> DataFrame:
         .where(F.col("ord") != F.col("k.ord"))
         .withColumn("vote", vote)
         .where((F.col("vote") != "disagree") & colour_ok(F.col("mean_color"), F.col("k.mean_color"), t.mean_color))
-        .select("ord", F.col("k.path").alias("keeper"), F.col("k.file_type").alias("keeper_type"), "vote")
+        .select("ord", F.col("k.name").alias("keeper"), F.col("k.file_type").alias("keeper_type"), "vote")
     )
 
 
-def near_pairs(rows: DataFrame, t: Thresholds, strategy: str = "index") -> DataFrame:
-    """(i, j, bits, vote, prio_i, prio_j, path_i, path_j) of candidate pairs within the threshold that pass colour and vote."""
-    pairs = similar_pairs(rows, t.hamming, hex_hash(F.col("phash")), "ord", strategy, ["prio", "path", "mean_color", "dhash"])
-    kept = pairs.withColumn("vote", dhash_vote(F.col("dhash_i"), F.col("dhash_j"), t.dhash))
+def gated_pairs(rows: DataFrame, t: Thresholds, strategy: str = "index") -> DataFrame:
+    """(i, j, bits, vote, prio_i, prio_j) of candidate pairs within the threshold that pass colour and vote."""
+    read = rows.select("ord", "phash", "prio", "mean_color", hex_hash(F.col("dhash")).alias("d"))
+    pairs = similar_pairs(read, t.hamming, hex_hash(F.col("phash")), "ord", strategy, ["prio", "mean_color", "d"])
+    kept = pairs.withColumn("vote", _vote(bits_apart(F.col("d_i"), F.col("d_j")), t.dhash))
     gate = (F.col("vote") != "disagree") & colour_ok(F.col("mean_color_i"), F.col("mean_color_j"), t.mean_color)
-    return kept.where(gate).select("i", "j", "bits", "vote", "prio_i", "prio_j", "path_i", "path_j")
+    return kept.where(gate).select("i", "j", "bits", "vote", "prio_i", "prio_j")
+
+
+def near_pairs(rows: DataFrame, t: Thresholds, strategy: str = "index") -> DataFrame:
+    """`gated_pairs` with path_i and path_j, which are joined last: the pairs meet without them."""
+    path = lambda s: rows.select(F.col("ord").alias(s), F.col("path").alias(f"path_{s}"))
+    return gated_pairs(rows, t, strategy).join(path("i"), "i").join(path("j"), "j").select("i", "j", "bits", "vote", "prio_i", "prio_j", "path_i", "path_j")
 
 
 def near_copies(pairs: DataFrame) -> DataFrame:
@@ -135,65 +146,82 @@ def near_copies(pairs: DataFrame) -> DataFrame:
     return both.select("ord", pick("path_i", "path_j").alias("keeper"), pick("bits", "bits").alias("bits"), pick("vote", "vote").alias("vote"))
 
 
-def near_classes(rows: DataFrame, t: Thresholds, strategy: str = "index") -> tuple[DataFrame, DataFrame]:
+def near_classes(rows: DataFrame, t: Thresholds, strategy: str = "index", names: bool = True) -> tuple[DataFrame, DataFrame]:
     """(members, links): near duplicates by classes, so that rows of two close hashes never all meet.
 
-    A class is the rows of one hash, priority, colour and second hash: all that the gates look at. members is (ord, path, first):
-    every row with the ord of its class's first row. links is (a, a_prio, a_path, b, b_prio, b_path, bits, vote), in both directions,
-    of the classes whose rows are near duplicates, known by their first rows.
+    A class is the rows of one hash, priority, colour and second hash: all that the gates look at. members is (ord, first, and path with
+    names): every row with the ord of its class's first row. links is (a, a_prio, b, b_prio, bits, vote), in both directions, of the classes
+    whose rows are near duplicates, known by the ord of their first rows. Paths aren't carried along: there are more links than rows.
     """
-    kind = ["h", "prio", "mean_color", "dhash"]
-    scratch = Scratch(rows.sparkSession, "near")
-    held = scratch.keep(rows.select("ord", "path", "prio", "mean_color", "dhash", hex_hash(F.col("phash")).alias("h")).where("h is not null"))
-    classes = scratch.keep(held.groupBy(*kind).agg(F.min(F.struct("ord", "path")).alias("r")).select(*kind, F.col("r.ord").alias("first"), F.col("r.path").alias("first_path")))
+    kind = ["h", "prio", "mean_color", "d"]
+    scratch = Scratch(rows.sparkSession, "near", "zstd")
+    held = scratch.keep(
+        rows.select("ord", *["path"] * names, "prio", "mean_color", hex_hash(F.col("dhash")).alias("d"), hex_hash(F.col("phash")).alias("h")).where("h is not null")
+    )
+    classes = scratch.keep(held.groupBy(*kind).agg(F.min("ord").alias("first")))
     same = [held[c].eqNullSafe(classes[c]) for c in kind]
-    members = held.join(classes, same[0] & same[1] & same[2] & same[3]).select("ord", "path", "first")
-    pairs = hash_value_pairs(classes.select("h").distinct(), t.hamming, strategy)
-    side = lambda s: classes.select(F.col("h").alias("a" if s == "i" else "b"), *[F.col(c).alias(f"{c}_{s}") for c in ("first", "prio", "first_path", "mean_color", "dhash")])
-    met = pairs.join(side("i"), "a").join(side("j"), "b").withColumn("vote", dhash_vote(F.col("dhash_i"), F.col("dhash_j"), t.dhash))
+    members = scratch.keep(held.join(classes, same[0] & same[1] & same[2] & same[3]).select("ord", *["path"] * names, "first"))
+    scratch.drop(held)
+    scratch.settle()
+    pairs = hash_value_pairs(classes.select("h").distinct(), t.hamming, strategy).where("bits > 0")
+    side = lambda s: classes.select(F.col("h").alias("a" if s == "i" else "b"), *[F.col(c).alias(f"{c}_{s}") for c in ("first", "prio", "mean_color", "d")])
+    met = pairs.join(side("i"), "a").join(side("j"), "b").withColumn("vote", _vote(bits_apart(F.col("d_i"), F.col("d_j")), t.dhash))
     met = met.where((F.col("vote") != "disagree") & colour_ok(F.col("mean_color_i"), F.col("mean_color_j"), t.mean_color))
-    one = lambda i, j: met.select(
-        F.col(f"first_{i}").alias("a"), F.col(f"prio_{i}").alias("a_prio"), F.col(f"first_path_{i}").alias("a_path"),
-        F.col(f"first_{j}").alias("b"), F.col(f"prio_{j}").alias("b_prio"), F.col(f"first_path_{j}").alias("b_path"), "bits", "vote",
-    )
-    return scratch.keep(members), scratch.keep(one("i", "j").unionByName(one("j", "i")))
+    met = scratch.keep(met.select("first_i", "prio_i", "first_j", "prio_j", F.col("bits").cast("int").alias("bits"), "vote"))
+    scratch.drop(classes)
+    scratch.settle()
+    one = lambda i, j: met.select(F.col(f"first_{i}").alias("a"), F.col(f"prio_{i}").alias("a_prio"), F.col(f"first_{j}").alias("b"), F.col(f"prio_{j}").alias("b_prio"), "bits", "vote")
+    return members, one("i", "j").unionByName(one("j", "i"))
 
 
-def near_copies_of_classes(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(ord, keeper, bits, vote) as `near_copies` gives it, from classes.
+def _keepers_of_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(ord, keeper, bits, vote) as `near_copies` gives it, from classes; keeper is an ord.
 
     Of an earlier class only the first row can be the first earlier row of another, so a class has one candidate for all its rows. A row
     without an earlier one comes before the first rows of all close classes of no lower priority, so of a later class, too, only the
     first row counts, and it is no duplicate of a row before this one if its class's own candidate comes after this one.
     """
-    head = links.where("a_prio <= b_prio").groupBy(F.col("b").alias("first")).agg(F.min(F.struct("a", "a_path", "bits", "vote")).alias("e"))
-    placed = members.join(head, "first", "left").withColumn("e", F.when(F.col("e.a") < F.col("ord"), F.col("e")))
+    head = links.where("a_prio <= b_prio").groupBy(F.col("b").alias("first")).agg(F.min(F.struct("a", "bits", "vote")).alias("e"))
+    placed = members.select("ord", "first").join(head, "first", "left").withColumn("e", F.when(F.col("e.a") < F.col("ord"), F.col("e")))
     taken = head.select(F.col("first").alias("b"), F.col("e.a").alias("taken"))
-    after = links.where("b_prio < a_prio").join(taken, "b", "left").select(F.col("a").alias("first"), "b", "b_path", "bits", "vote", "taken")
+    after = links.where("b_prio < a_prio").join(taken, "b", "left").select(F.col("a").alias("first"), "b", "bits", "vote", "taken")
     later = placed.where("e is null").select("ord", "first").join(after, "first").where("taken is null or taken >= ord")
-    later = later.groupBy("ord").agg(F.min(F.struct("b", "b_path", "bits", "vote")).alias("l"))
+    later = later.groupBy("ord").agg(F.min(F.struct("b", "bits", "vote")).alias("l"))
     both = placed.join(later, "ord", "left").where("e is not null or l is not null")
     pick = lambda a, b: F.when(F.col("e").isNotNull(), F.col(f"e.{a}")).otherwise(F.col(f"l.{b}"))
-    return both.select("ord", pick("a_path", "b_path").alias("keeper"), pick("bits", "bits").alias("bits"), pick("vote", "vote").alias("vote"))
+    return both.select("ord", pick("a", "b").alias("keeper"), pick("bits", "bits").alias("bits"), pick("vote", "vote").alias("vote"))
+
+
+def near_copies_of_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(ord, keeper, bits, vote) as `near_copies` gives it, from classes (see `_keepers_of_classes`), with the keeper's path."""
+    path = members.select(F.col("ord").alias("k"), "path")
+    return _keepers_of_classes(members, links).withColumnRenamed("keeper", "k").join(path, "k").select("ord", F.col("path").alias("keeper"), "bits", "vote")
+
+
+def _edges_of_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, dst), ords: edges that connect what near pairs of rows connect: the first rows of close classes, and every row with the first row of one class close to its own."""
+    one = links.groupBy(F.col("a").alias("first")).agg(F.min("b").alias("dst"))
+    return links.where("a < b").select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(members.join(one, "first").select(F.col("ord").alias("src"), "dst"))
 
 
 def near_edges(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(src, dst): edges that connect what near pairs of rows connect: the first rows of close classes, and every row with the first row of one class close to its own."""
-    one = links.groupBy(F.col("a").alias("first")).agg(F.min("b_path").alias("dst"))
-    return links.where("a < b").select(F.col("a_path").alias("src"), F.col("b_path").alias("dst")).unionByName(members.join(one, "first").select(F.col("path").alias("src"), "dst"))
+    """(src, dst): the paths of `_edges_of_classes`."""
+    path = lambda s: members.select(F.col("ord").alias(s[0]), F.col("path").alias(s))
+    ends = _edges_of_classes(members, links).toDF("s", "d")
+    return ends.join(path("src"), "s").join(path("dst"), "d").select("src", "dst")
 
 
-def stem_pairs(rows: DataFrame, t: Thresholds) -> DataFrame:
-    """(src, dst): files of one directory with the same name but for the extension, and the same copy number; not of edited ones.
+def stem_pairs(rows: DataFrame, t: Thresholds, name: str = "path") -> DataFrame:
+    """(src, dst), by path or another unique column: files of one directory with the same name but for the extension, and the same copy number; not of edited ones.
 
     Left out if both have a hash and these are further apart than the threshold.
     """
     parts = name_parts(F.col("path"))
-    named = rows.select("path", "phash", parent(F.col("path")).alias("dir"), *[c.alias(n) for n, c in parts.items()]).where("not is_edited")
-    a = named.select("dir", F.col("clean_stem").alias("s"), F.coalesce("number", F.lit(-1)).alias("n"), F.col("path").alias("src"), F.col("phash").alias("p"))
+    named = rows.select(F.col(name).alias("src"), hex_hash(F.col("phash")).alias("p"), parent(F.col("path")).alias("dir"), *[c.alias(n) for n, c in parts.items()]).where("not is_edited")
+    a = named.select("dir", F.col("clean_stem").alias("s"), F.coalesce("number", F.lit(-1)).alias("n"), "src", "p")
     b = a.withColumnsRenamed({"src": "dst", "p": "q"})
     met = a.join(b, ["dir", "s", "n"]).where("src < dst")
-    return met.where(F.coalesce(hamming(F.col("p"), F.col("q")) <= t.hamming, F.lit(True))).select("src", "dst")
+    return met.where(F.coalesce(bits_apart(F.col("p"), F.col("q")) <= t.hamming, F.lit(True))).select("src", "dst")
 
 
 def pair_clusters(rows: DataFrame, t: Thresholds | None = None) -> DataFrame:
@@ -201,23 +229,28 @@ def pair_clusters(rows: DataFrame, t: Thresholds | None = None) -> DataFrame:
     return components(stem_pairs(rows, t or Thresholds())).select(F.col("node").alias("path"), F.col("component").alias("cluster"))
 
 
-def classify(media: DataFrame, t: Thresholds | None = None, priority: dict[str, int] | None = None, strategy: str = "index") -> DataFrame:
+def classify(media: DataFrame, t: Thresholds | None = None, priority: dict[str, int] | None = None, strategy: str = "index", groups: bool = True) -> DataFrame:
     """The media rows with action, duplicate_of, hamming_distance, match_confidence, reason and group_id.
 
     Passes in this order, the first that labels a row wins: EXACT by content, EXACT by format (equal perceptual hash),
     REVIEW_DUPLICATE by near hash, UNDATED without a date, else ''. group_id is the smallest path of the rows linked by
-    any of these labels, by a near pair, or by a common stem; NULL for rows linked to none.
+    any of these labels, by a near pair, or by a common stem; NULL for rows linked to none; left out if groups is false.
 
-    Rows without sha256 are no exact copies. ord and path must be unique. An empty input gives no rows.
+    Rows without sha256 are no exact copies. ord and path must be unique. An empty input gives no rows. Between the passes
+    rows are known by ord; paths are joined once at the end.
     """
     t = t or Thresholds()
-    scratch = Scratch(media.sparkSession, "classify")
+    scratch = Scratch(media.sparkSession, "classify", "zstd")
     rows = scratch.keep(source_priority(media, priority))
-    exact = scratch.keep(exact_copies(rows))
+    scratch.settle()
+    exact = scratch.keep(exact_copies(rows, "ord"))
     open_rows = rows.join(exact.select("ord"), "ord", "left_anti").where(candidates(rows, t))
-    formats = scratch.keep(format_copies(open_rows, t))
-    members, links = near_classes(open_rows.join(formats.select("ord"), "ord", "left_anti"), t, strategy)
-    near = near_copies_of_classes(members, links)
+    open_rows = scratch.keep(open_rows.select("ord", "prio", "file_type", "phash", "dhash", "mean_color"))
+    formats = scratch.keep(format_copies(open_rows, t, "ord"))
+    scratch.settle()
+    members, links = near_classes(open_rows.join(formats.select("ord"), "ord", "left_anti"), t, strategy, names=False)
+    scratch.drop(open_rows)
+    near = _keepers_of_classes(members, links)
     labels = scratch.keep(
         exact.select("ord", "keeper", F.lit("EXACT").alias("action"), F.lit(None).cast("int").alias("bits"), F.lit("high").alias("conf"), F.lit("exact").alias("why"))
         .unionByName(
@@ -233,12 +266,17 @@ def classify(media: DataFrame, t: Thresholds | None = None, priority: dict[str,
             )
         )
     )
-    edges = (
-        rows.join(labels, "ord").select(F.col("path").alias("src"), F.col("keeper").alias("dst"))
-        .unionByName(near_edges(members, links))
-        .unionByName(stem_pairs(rows, t))
-    )
-    groups = components(edges).select(F.col("node").alias("path"), F.col("component").alias("group_id"))
+    scratch.drop(exact)
+    scratch.drop(formats)
+    scratch.settle()
+    path = lambda key, to: rows.select(F.col("ord").alias(key), F.col("path").alias(to))
+    said = labels.withColumnRenamed("keeper", "k").join(path("k", "keeper"), "k").drop("k")
+    if groups:
+        edges = labels.select(F.col("ord").alias("src"), F.col("keeper").alias("dst")).unionByName(_edges_of_classes(members, links)).unionByName(stem_pairs(rows, t, "ord"))
+        linked = components(edges).select(F.col("node").alias("ord"), "component")
+        smallest = linked.join(path("ord", "path"), "ord").groupBy("component").agg(F.min("path").alias("group_id"))
+        # Whatever has a label is linked to its keeper.
+        said = linked.join(smallest, "component").select("ord", "group_id").join(said, "ord", "left")
     name = basename(F.col("keeper"))
     reason = (
         F.when(F.col("why") == "exact", F.concat(F.lit("exact duplicate of "), name))
@@ -248,8 +286,7 @@ def classify(media: DataFrame, t: Thresholds | None = None, priority: dict[str,
         .otherwise("unique")
     )
     return (
-        rows.join(labels, "ord", "left")
-        .join(groups, "path", "left")
+        rows.join(said, "ord", "left")
         .select(
             *[c for c in rows.columns if c != "prio"],
             F.coalesce("action", F.when(F.col("exif_date").isNull(), "UNDATED").otherwise("")).alias("action"),
@@ -257,6 +294,6 @@ def classify(media: DataFrame, t: Thresholds | None = None, priority: dict[str,
             F.col("bits").alias("hamming_distance"),
             F.col("conf").alias("match_confidence"),
             reason.alias("reason"),
-            "group_id",
+            *["group_id"] * groups,
         )
     )

@@ -18,8 +18,10 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int
     edges; no edges give no rows; more than max_rounds rounds raise RuntimeError.
     """
     scratch = Scratch(edges.sparkSession, "graph")
-    pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y").distinct()
-    both = scratch.keep(pairs.union(pairs.select("y", "x")).distinct())
+    ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
+    pairs = ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    # Each pair has one way round here, so that both ways are told apart without a further shuffle.
+    both = scratch.keep(pairs.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")).select("e.*"))
     labels = scratch.keep(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("label")))
     for _ in range(max_rounds):
         around = both.join(labels.select(F.col("x").alias("y"), F.col("label").alias("l")), "y").groupBy("x").agg(F.min("l").alias("l"))
@@ -31,6 +33,7 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int
         done = after.where("moved").isEmpty()
         scratch.drop(labels)
         labels = after
+        scratch.settle()
         if done:
             return labels.select(F.col("x").alias("node"), F.col("label").alias("component"))
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

@@ -67,8 +67,22 @@ def c1_exact_content(spark, d):
 
 
 def _open(spark, d):
-    rows = Scratch(spark, "open").keep(_ranked(spark, d))
-    return rows, rows.join(C.exact_copies(rows), "ord", "left_anti").where(C.candidates(rows, _T))
+    scratch = Scratch(spark, "open", "zstd")
+    rows = scratch.keep(_ranked(spark, d).select("ord", "path", "prio", "file_type", "sha256", "phash", "dhash", "mean_color", "pixel_width", "pixel_height"))
+    scratch.settle()
+    return rows, rows.join(C.exact_copies(rows, "ord"), "ord", "left_anti").where(C.candidates(rows, _T))
+
+
+def _unlike(spark, d):
+    """The candidates that are copies neither by content nor by format."""
+    scratch = Scratch(spark, "unlike", "zstd")
+    rows, kept = _open(spark, d)
+    held = scratch.keep(kept.select("ord", "path", "prio", "file_type", "phash", "dhash", "mean_color"))
+    out = scratch.keep(held.join(C.format_copies(held, _T, "ord"), "ord", "left_anti").drop("file_type"))
+    for x in (rows, held):
+        scratch.drop(x)
+    scratch.settle()
+    return out
 
 
 @query(f"{_C} SELECT ord, keeper, keeper_type, vote FROM formats")
@@ -76,20 +90,14 @@ def c2_exact_format(spark, d):
     return C.format_copies(_open(spark, d)[1], _T)
 
 
-def _pairs(spark, d, strategy="index"):
-    rows = _open(spark, d)[1]
-    return C.near_pairs(rows.join(C.format_copies(rows, _T), "ord", "left_anti"), _T, strategy)
-
-
 @query(f"{_C} SELECT ord, keeper, CAST(bits AS INT) AS bits, vote FROM near")
 def c3_near_duplicates(spark, d):
-    rows = _open(spark, d)[1]
-    return C.near_copies_of_classes(*C.near_classes(rows.join(C.format_copies(rows, _T), "ord", "left_anti"), _T))
+    return C.near_copies_of_classes(*C.near_classes(_unlike(spark, d), _T))
 
 
 @query(f"{_C} SELECT i, j, CAST(bits AS INT) AS bits, vote FROM pairs")
 def j5_similarity_join(spark, d):
-    return _pairs(spark, d).select("i", "j", "bits", "vote")
+    return C.gated_pairs(_unlike(spark, d), _T).select("i", "j", "bits", "vote")
 
 
 @query(f"{_M}, v AS (SELECT DISTINCT h FROM media WHERE h IS NOT NULL) SELECT printf('%016x', least(a.h, b.h)) AS a, printf('%016x', greatest(a.h, b.h)) AS b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS bits FROM v a JOIN v b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 6")
@@ -108,12 +116,12 @@ _LABELS = """labelled AS (
 
 @query(f"{_C}, {_LABELS} SELECT r.ord, coalesce(l.action, CASE WHEN exif_date IS NULL THEN 'UNDATED' ELSE '' END) AS action, keeper AS duplicate_of, CAST(bits AS INT) AS hamming_distance, conf AS match_confidence FROM ranked r LEFT JOIN labelled l USING (ord)")
 def c4_labels(spark, d):
-    return C.classify(media(spark, d)).select("ord", "action", "duplicate_of", "hamming_distance", "match_confidence")
+    return C.classify(media(spark, d), groups=False).select("ord", "action", "duplicate_of", "hamming_distance", "match_confidence")
 
 
 @query()
 def c4_labels_all_dates(spark, d):
-    return C.classify(dated_media(spark, d)).select("ord", "action", "duplicate_of", "hamming_distance", "match_confidence")
+    return C.classify(dated_media(spark, d), groups=False).select("ord", "action", "duplicate_of", "hamming_distance", "match_confidence")
 
 
 _NAME = "regexp_extract({}, '([^/]*)$', 1)"
@@ -123,7 +131,7 @@ _NAME = "regexp_extract({}, '([^/]*)$', 1)"
 'near-duplicate (hamming=' || n.bits || ') of ' || {_NAME.format("n.keeper")}, CASE WHEN exif_date IS NULL THEN 'no EXIF DateTimeOriginal' ELSE 'unique' END) AS reason
 FROM ranked r LEFT JOIN exact e USING (ord) LEFT JOIN formats f USING (ord) LEFT JOIN near n USING (ord)""")
 def c6_reasons(spark, d):
-    return C.classify(media(spark, d)).select("ord", "reason")
+    return C.classify(media(spark, d), groups=False).select("ord", "reason")
 
 
 _STEM = r"""named AS (
@@ -182,9 +190,9 @@ def g1_components(spark, d):
 
 @query(f"{_C}, {_LABELS} SELECT r.path AS src, l.keeper AS dst FROM ranked r JOIN labelled l USING (ord) UNION ALL SELECT path_i, path_j FROM pairs")
 def c5_edges(spark, d):
-    rows = C.classify(media(spark, d))
+    rows = C.classify(media(spark, d), groups=False)
     return rows.where("duplicate_of is not null").select(F.col("path").alias("src"), F.col("duplicate_of").alias("dst")).unionByName(
-        _pairs(spark, d).select(F.col("path_i").alias("src"), F.col("path_j").alias("dst"))
+        C.near_pairs(_unlike(spark, d), _T).select(F.col("path_i").alias("src"), F.col("path_j").alias("dst"))
     )
 
 
@@ -289,7 +297,12 @@ def _decided(media):
         "file_size_bytes", "pixel_width", "pixel_height", F.col("exif_date").alias("shot_date"), *[F.col(c) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in absent.items()],
         F.lit("").alias("user_decision"), F.lit(0).alias("is_locked"),
     )
-    scored = Scratch(media.sparkSession, "flagship").keep(K.score_rows(full).withColumn("score", F.round("score", 9)))
+    scratch = Scratch(media.sparkSession, "flagship", "zstd")
+    full = scratch.keep(full)
+    scratch.settle()
+    scored = scratch.keep(K.score_rows(full).withColumn("score", F.round("score", 9)))
+    scratch.drop(full)
+    scratch.settle()
     chosen = M.auto_select(scored, aggressive=True)
     return chosen.select("id", "source_path", "group_id", "action", "hamming_distance", "reason", F.round("score", 6).alias("score"), "user_decision", "is_locked")
 

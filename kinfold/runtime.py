@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -44,8 +45,8 @@ class Scratch:
     when the session ends is removed by the file system's delete-on-exit hook.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, codec: str = "snappy"):
+        self.spark, self.codec = spark, codec
         self.root = f"{shared_dir(spark)}/kinfold-{name}-{uuid.uuid4().hex}"
         self._n = 0
         path = self._path(self.root)
@@ -59,7 +60,7 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1
         at = f"{self.root}/t{self._n}"
-        df.write.parquet(at)
+        df.write.option("compression", self.codec).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._kept_at = at
         return out
@@ -67,6 +68,11 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         self._fs.delete(self._path(df._kept_at), True)
 
+    def settle(self) -> None:
+        """Has Spark remove the shuffle files of steps that ended, which stay until the driver collects the garbage that refers to them."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def small(df: DataFrame, bound: int = 1 << 20) -> DataFrame:
     """The same rows, marked for broadcasting if they are counted to be no more than `bound`; for narrow tables that are cheap to count."""

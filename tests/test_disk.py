@@ -37,3 +37,17 @@ def test_blocks_and_pieces_of_any_size_give_all_pairs(spark, radius, monkeypatch
     monkeypatch.setattr(similarity, "CHUNK", 8)
     got = sorted(map(tuple, hash_value_pairs(frame, radius).collect()))
     assert got == want and len(want) > 30
+
+
+def _frame(spark, n=40):
+    rng = random.Random(n)
+    rows = [(i, f"p{i:03}", i % 3, f"{0x0123456789abcdef ^ rng.getrandbits(6):016x}", rng.choice([None, "1,1,1"]), None) for i in range(n)]
+    return spark.createDataFrame(rows, "ord long, path string, prio int, phash string, mean_color string, dhash string")
+
+
+def test_pairs_meet_without_paths(spark):
+    frame = _frame(spark)
+    slim, full = C.gated_pairs(frame, C.Thresholds()), C.near_pairs(frame, C.Thresholds())
+    assert not [c for c in slim.columns if "path" in c]
+    got = sorted(map(tuple, full.select("i", "j", "bits", "path_i", "path_j").collect()))
+    assert got == sorted((r.i, r.j, r.bits, f"p{r.i:03}", f"p{r.j:03}") for r in slim.collect()) and got
