@@ -51,3 +51,11 @@ def test_pairs_meet_without_paths(spark):
     assert not [c for c in slim.columns if "path" in c]
     got = sorted(map(tuple, full.select("i", "j", "bits", "path_i", "path_j").collect()))
     assert got == sorted((r.i, r.j, r.bits, f"p{r.i:03}", f"p{r.j:03}") for r in slim.collect()) and got
+
+
+def test_labels_without_groups_link_nothing(spark, monkeypatch):
+    rows = _frame(spark).select("ord", "path", F.lit("a").alias("source_label"), F.lit("jpeg").alias("file_type"), F.col("path").alias("sha256"), "phash", "dhash", "mean_color", F.lit(None).cast("int").alias("pixel_width"), F.lit(None).cast("int").alias("pixel_height"), F.lit(None).cast("timestamp_ntz").alias("exif_date"))
+    full = C.classify(rows)
+    monkeypatch.setattr(C, "components", None)
+    slim = C.classify(rows, groups=False)
+    assert "group_id" not in slim.columns and sorted(map(tuple, slim.collect())) == sorted(map(tuple, full.drop("group_id").collect()))
