@@ -6,6 +6,7 @@ pixel_width, pixel_height, exif_date. '' counts as absent for phash, dhash and m
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,14 +60,17 @@ def _vote(d: Column, most: int) -> Column:
     return F.when(d.isNull(), "unknown").when(d <= most, "agree").otherwise("disagree")
 
 
-def source_priority(rows: DataFrame, given: dict[str, int] | None = None) -> DataFrame:
-    """Adds prio: the given rank of the label (unlisted: after all), or the rank in order of first appearance."""
+def source_priority(rows: DataFrame, given: dict[str, int] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """Adds prio: the given rank of the label (unlisted: after all), or the rank in order of first appearance.
+
+    The ranks go through `keep`, which may write them, so that they are found once for all uses of the rows.
+    """
     if given is not None:
         ranks = F.create_map(*[x for k, v in given.items() for x in (F.lit(k), F.lit(v))]) if given else None
         return rows.withColumn("prio", F.coalesce(ranks[F.col("source_label")] if given else F.lit(None).cast("int"), F.lit(len(given))))
     # One row a label: the window over them is as small as their number.
     first = rows.where("source_label is not null").groupBy("source_label").agg(F.min("ord").alias("first"))
-    ranked = first.select("source_label", (F.row_number().over(Window.orderBy("first")) - 1).alias("prio"))
+    ranked = keep(first.select("source_label", (F.row_number().over(Window.orderBy("first")) - 1).alias("prio")))
     return rows.join(ranked, "source_label", "left").withColumn("prio", F.coalesce("prio", F.lit(2**31 - 1)))
 
 
@@ -229,19 +233,12 @@ def pair_clusters(rows: DataFrame, t: Thresholds | None = None) -> DataFrame:
     return components(stem_pairs(rows, t or Thresholds())).select(F.col("node").alias("path"), F.col("component").alias("cluster"))
 
 
-def classify(media: DataFrame, t: Thresholds | None = None, priority: dict[str, int] | None = None, strategy: str = "index", groups: bool = True) -> DataFrame:
-    """The media rows with action, duplicate_of, hamming_distance, match_confidence, reason and group_id.
-
-    Passes in this order, the first that labels a row wins: EXACT by content, EXACT by format (equal perceptual hash),
-    REVIEW_DUPLICATE by near hash, UNDATED without a date, else ''. group_id is the smallest path of the rows linked by
-    any of these labels, by a near pair, or by a common stem; NULL for rows linked to none; left out if groups is false.
-
-    Rows without sha256 are no exact copies. ord and path must be unique. An empty input gives no rows. Between the passes
-    rows are known by ord; paths are joined once at the end.
+def passes(media: DataFrame, t: Thresholds, priority: dict[str, int] | None = None, strategy: str = "index", groups: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows, labels, linked): the media rows with prio; (ord, keeper, action, bits, conf, why) of those that a pass labels, keeper an ord; (ord,
+    component) of those linked by a label, a near pair or a common stem, None if groups is false. See `classify`. No paths are carried along.
     """
-    t = t or Thresholds()
     scratch = Scratch(media.sparkSession, "classify", "zstd")
-    rows = scratch.keep(source_priority(media, priority))
+    rows = source_priority(scratch.keep(media), priority, scratch.keep)
     scratch.settle()
     exact = scratch.keep(exact_copies(rows, "ord"))
     open_rows = rows.join(exact.select("ord"), "ord", "left_anti").where(candidates(rows, t))
@@ -269,31 +266,70 @@ def classify(media: DataFrame, t: Thresholds | None = None, priority: dict[str,
     scratch.drop(exact)
     scratch.drop(formats)
     scratch.settle()
-    path = lambda key, to: rows.select(F.col("ord").alias(key), F.col("path").alias(to))
-    said = labels.withColumnRenamed("keeper", "k").join(path("k", "keeper"), "k").drop("k")
-    if groups:
-        edges = labels.select(F.col("ord").alias("src"), F.col("keeper").alias("dst")).unionByName(_edges_of_classes(members, links)).unionByName(stem_pairs(rows, t, "ord"))
-        linked = components(edges).select(F.col("node").alias("ord"), "component")
-        smallest = linked.join(path("ord", "path"), "ord").groupBy("component").agg(F.min("path").alias("group_id"))
-        # Whatever has a label is linked to its keeper.
-        said = linked.join(smallest, "component").select("ord", "group_id").join(said, "ord", "left")
+    if not groups:
+        return rows, labels, None
+    edges = labels.select(F.col("ord").alias("src"), F.col("keeper").alias("dst")).unionByName(_edges_of_classes(members, links)).unionByName(stem_pairs(rows, t, "ord"))
+    return rows, labels, components(edges).select(F.col("node").alias("ord"), "component")
+
+
+def group_names(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """(component, group_id): the smallest path of each component."""
+    return linked.join(rows.select("ord", "path"), "ord").groupBy("component").agg(F.min("path").alias("group_id"))
+
+
+def duplicate_groups(media: DataFrame, t: Thresholds | None = None) -> DataFrame:
+    """(path, group_id) of the rows that `classify` links to others."""
+    rows, _, linked = passes(media, t or Thresholds())
+    return linked.join(group_names(rows, linked), "component").join(rows.select("ord", "path"), "ord").select("path", "group_id")
+
+
+def said_of(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labels with the keeper's path in place of its ord."""
+    path = rows.select(F.col("ord").alias("k"), F.col("path").alias("keeper"))
+    return labels.withColumnRenamed("keeper", "k").join(path, "k").drop("k")
+
+
+def action() -> Column:
+    """What `classify` says of a row joined with its label."""
+    return F.coalesce("action", F.when(F.col("exif_date").isNull(), "UNDATED").otherwise(""))
+
+
+def reason() -> Column:
+    """The text of `action`, with the keeper by its name."""
     name = basename(F.col("keeper"))
-    reason = (
+    return (
         F.when(F.col("why") == "exact", F.concat(F.lit("exact duplicate of "), name))
         .when(F.col("why") == "near", F.format_string("near-duplicate (hamming=%d) of %s", F.col("bits"), name))
         .when(F.col("why").isNotNull(), F.concat(F.lit("format duplicate of "), name, F.lit(" ("), F.col("file_type"), F.lit(" vs "), F.col("why"), F.lit(")")))
         .when(F.col("exif_date").isNull(), "no EXIF DateTimeOriginal")
         .otherwise("unique")
     )
+
+
+def classify(media: DataFrame, t: Thresholds | None = None, priority: dict[str, int] | None = None, strategy: str = "index", groups: bool = True) -> DataFrame:
+    """The media rows with action, duplicate_of, hamming_distance, match_confidence, reason and group_id.
+
+    Passes in this order, the first that labels a row wins: EXACT by content, EXACT by format (equal perceptual hash),
+    REVIEW_DUPLICATE by near hash, UNDATED without a date, else ''. group_id is the smallest path of the rows linked by
+    any of these labels, by a near pair, or by a common stem; NULL for rows linked to none; left out if groups is false.
+
+    Rows without sha256 are no exact copies. ord and path must be unique. An empty input gives no rows. Between the passes
+    rows are known by ord; paths are joined once at the end.
+    """
+    rows, labels, linked = passes(media, t or Thresholds(), priority, strategy, groups)
+    said = said_of(rows, labels)
+    if groups:
+        # Whatever has a label is linked to its keeper.
+        said = linked.join(group_names(rows, linked), "component").select("ord", "group_id").join(said, "ord", "left")
     return (
         rows.join(said, "ord", "left")
         .select(
-            *[c for c in rows.columns if c != "prio"],
-            F.coalesce("action", F.when(F.col("exif_date").isNull(), "UNDATED").otherwise("")).alias("action"),
+            *media.columns,
+            action().alias("action"),
             F.col("keeper").alias("duplicate_of"),
             F.col("bits").alias("hamming_distance"),
             F.col("conf").alias("match_confidence"),
-            reason.alias("reason"),
+            reason().alias("reason"),
             *["group_id"] * groups,
         )
     )

@@ -17,7 +17,7 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int
     size is one row there. Each round is a written table. Stops when no label changes, which is counted exactly. NULL ends and loops are no
     edges; no edges give no rows; more than max_rounds rounds raise RuntimeError.
     """
-    scratch = Scratch(edges.sparkSession, "graph")
+    scratch = Scratch(edges.sparkSession, "graph", "zstd")
     ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
     pairs = ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     # Each pair has one way round here, so that both ways are told apart without a further shuffle.
@@ -35,5 +35,6 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst", max_rounds: int
         labels = after
         scratch.settle()
         if done:
+            scratch.drop(both)
             return labels.select(F.col("x").alias("node"), F.col("label").alias("component"))
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

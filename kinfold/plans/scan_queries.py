@@ -68,18 +68,19 @@ def c1_exact_content(spark, d):
 
 def _open(spark, d):
     scratch = Scratch(spark, "open", "zstd")
-    rows = scratch.keep(_ranked(spark, d).select("ord", "path", "prio", "file_type", "sha256", "phash", "dhash", "mean_color", "pixel_width", "pixel_height"))
+    held = scratch.keep(media(spark, d).select("ord", "path", "source_label", "file_type", "sha256", "phash", "dhash", "mean_color", "pixel_width", "pixel_height"))
+    rows = C.source_priority(held, keep=scratch.keep)
     scratch.settle()
-    return rows, rows.join(C.exact_copies(rows, "ord"), "ord", "left_anti").where(C.candidates(rows, _T))
+    return rows, rows.join(C.exact_copies(rows, "ord"), "ord", "left_anti").where(C.candidates(rows, _T)), held
 
 
 def _unlike(spark, d):
     """The candidates that are copies neither by content nor by format."""
     scratch = Scratch(spark, "unlike", "zstd")
-    rows, kept = _open(spark, d)
+    _, kept, read = _open(spark, d)
     held = scratch.keep(kept.select("ord", "path", "prio", "file_type", "phash", "dhash", "mean_color"))
     out = scratch.keep(held.join(C.format_copies(held, _T, "ord"), "ord", "left_anti").drop("file_type"))
-    for x in (rows, held):
+    for x in (read, held):
         scratch.drop(x)
     scratch.settle()
     return out
@@ -185,7 +186,7 @@ _CR = _C.replace("WITH ", "WITH RECURSIVE ", 1)
 
 @query(f"{_CR}, {_GROUPS} SELECT node AS path, component AS group_id FROM reach")
 def g1_components(spark, d):
-    return C.classify(media(spark, d)).where("group_id is not null").select("path", "group_id")
+    return C.duplicate_groups(media(spark, d), _T)
 
 
 @query(f"{_C}, {_LABELS} SELECT r.path AS src, l.keeper AS dst FROM ranked r JOIN labelled l USING (ord) UNION ALL SELECT path_i, path_j FROM pairs")
@@ -289,22 +290,35 @@ def k13_rescore_keepers_all_dates(spark, d):
 
 
 def _decided(media):
-    """Classify, group, score, choose keepers: one table from fingerprints to decisions."""
+    """Classify, group, score, choose keepers: one table from fingerprints to decisions.
+
+    Rows of a group are scored and chosen by their ord and component, with what scores look at; names are joined at the end.
+    """
     absent = {"mtime": "timestamp_ntz", "exif_tag_count": "int", "gps_present": "int", "xmp_derived": "int"}
-    rows = C.classify(media)
-    full = rows.select(
-        F.col("ord").alias("id"), F.col("path").alias("source_path"), "source_label", "action", "phash", "hamming_distance", "group_id", "reason", "match_confidence",
-        "file_size_bytes", "pixel_width", "pixel_height", F.col("exif_date").alias("shot_date"), *[F.col(c) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in absent.items()],
-        F.lit("").alias("user_decision"), F.lit(0).alias("is_locked"),
-    )
+    rows, labels, linked = C.passes(media, _T)
     scratch = Scratch(media.sparkSession, "flagship", "zstd")
-    full = scratch.keep(full)
-    scratch.settle()
-    scored = scratch.keep(K.score_rows(full).withColumn("score", F.round("score", 9)))
-    scratch.drop(full)
+    members = scratch.keep(
+        rows.join(linked, "ord").select(
+            F.col("ord").alias("id"), F.col("path").alias("source_path"), F.col("component").alias("group_id"), "file_size_bytes", "pixel_width", "pixel_height",
+            F.col("exif_date").alias("shot_date"), *[F.col(c) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in absent.items()],
+        )
+    )
+    names = scratch.keep(members.groupBy(F.col("group_id").alias("component")).agg(F.min("source_path").alias("group_id")))
+    scores = scratch.keep(K.score_rows(members).select("id", F.round("score", 9).alias("score")))
+    label = labels.select(F.col("ord").alias("id"), "action", F.col("conf").alias("match_confidence"))
+    choice = members.select("id", "source_path", "group_id").join(scores, "id").join(label, "id", "left")
+    choice = scratch.keep(choice.withColumns({"user_decision": F.lit(""), "is_locked": F.lit(0)}))
+    scratch.drop(members)
+    scratch.drop(scores)
     scratch.settle()
-    chosen = M.auto_select(scored, aggressive=True)
-    return chosen.select("id", "source_path", "group_id", "action", "hamming_distance", "reason", F.round("score", 6).alias("score"), "user_decision", "is_locked")
+    chosen = M.auto_select(choice, aggressive=True).select(F.col("id").alias("ord"), F.col("group_id").alias("component"), (F.col("action") == "KEEP").alias("kept"), "score", "user_decision", "is_locked")
+    chosen = scratch.keep(chosen)
+    scratch.drop(choice)
+    said = chosen.join(names, "component").drop("component").join(C.said_of(rows, labels), "ord", "left")
+    return rows.select("ord", "path", "file_type", "exif_date").join(said, "ord", "left").select(
+        F.col("ord").alias("id"), F.col("path").alias("source_path"), "group_id", F.when(F.col("kept"), "KEEP").otherwise(C.action()).alias("action"), F.col("bits").alias("hamming_distance"),
+        C.reason().alias("reason"), F.round("score", 6).alias("score"), F.coalesce("user_decision", F.lit("")).alias("user_decision"), F.coalesce("is_locked", F.lit(0)).alias("is_locked"),
+    )
 
 
 def flagship(spark, d):

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -60,7 +61,13 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1
         at = f"{self.root}/t{self._n}"
-        df.write.option("compression", self.codec).parquet(at)
+        # The shuffle files of the step go as soon as it is written, not when the driver happens to collect its garbage.
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", self.codec).parquet(at)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._kept_at = at
         return out

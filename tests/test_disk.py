@@ -1,6 +1,8 @@
 """What the similarity join and the passes built on it must not write: changed words, paths beside pairs, wide joins that run again."""
 
+import gc
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,8 @@ from pyspark.sql import functions as F
 from kinfold.operators import classify as C
 from kinfold.operators import similarity
 from kinfold.operators.similarity import hash_value_pairs
+from kinfold.plans import scan_queries
+from kinfold.runtime import Scratch
 
 
 def plan(df):
@@ -59,3 +63,32 @@ def test_labels_without_groups_link_nothing(spark, monkeypatch):
     monkeypatch.setattr(C, "components", None)
     slim = C.classify(rows, groups=False)
     assert "group_id" not in slim.columns and sorted(map(tuple, slim.collect())) == sorted(map(tuple, full.drop("group_id").collect()))
+
+
+def _media(spark):
+    return _frame(spark).select("ord", "path", F.lit("a").alias("source_label"), F.lit("jpeg").alias("file_type"), F.col("path").alias("sha256"), "phash", "dhash", "mean_color", F.lit(200).alias("pixel_width"), F.lit(200).alias("pixel_height"), F.lit(9).cast("long").alias("file_size_bytes"), F.lit(None).cast("timestamp_ntz").alias("exif_date"))
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in (held.getAllFiles().apply(i).getName() for i in range(held.getAllFiles().size())) if f.startswith("shuffle_")}
+    gc.disable()
+    try:
+        before = files()
+        Scratch(spark, "test").keep(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count())
+        end = time.time() + 5
+        while files() - before and time.time() < end:
+            time.sleep(0.1)
+        assert not files() - before
+    finally:
+        gc.enable()
+
+
+def test_groups_are_scored_by_ord_and_component(spark, monkeypatch):
+    seen, score = [], scan_queries.K.score_rows
+    monkeypatch.setattr(scan_queries.K, "score_rows", lambda rows: seen.append(rows) or score(rows))
+    got = scan_queries._decided(_media(spark)).collect()
+    assert dict(seen[0].dtypes)["group_id"] == "bigint" and not {"reason", "source_label", "phash"} & set(seen[0].columns)
+    want = {r.ord: r for r in C.classify(_media(spark)).collect()}
+    assert {r.id: (r.group_id, r.reason, r.hamming_distance) for r in got} == {k: (r.group_id, r.reason, r.hamming_distance) for k, r in want.items()}
+    assert all(r.action == ("KEEP" if r.is_locked else want[r.id].action) for r in got) and any(r.is_locked for r in got)
