@@ -92,3 +92,9 @@ def test_groups_are_scored_by_ord_and_component(spark, monkeypatch):
     want = {r.ord: r for r in C.classify(_media(spark)).collect()}
     assert {r.id: (r.group_id, r.reason, r.hamming_distance) for r in got} == {k: (r.group_id, r.reason, r.hamming_distance) for k, r in want.items()}
     assert all(r.action == ("KEEP" if r.is_locked else want[r.id].action) for r in got) and any(r.is_locked for r in got)
+
+
+def test_groups_alone_need_no_keepers(spark, monkeypatch):
+    want = sorted((r.path, r.group_id) for r in C.classify(_media(spark)).where("group_id is not null").collect())
+    monkeypatch.setattr(C, "said_of", None)
+    assert sorted(map(tuple, C.duplicate_groups(_media(spark)).collect())) == want and want
