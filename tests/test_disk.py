@@ -98,3 +98,12 @@ def test_groups_alone_need_no_keepers(spark, monkeypatch):
     want = sorted((r.path, r.group_id) for r in C.classify(_media(spark)).where("group_id is not null").collect())
     monkeypatch.setattr(C, "said_of", None)
     assert sorted(map(tuple, C.duplicate_groups(_media(spark)).collect())) == want and want
+
+
+@pytest.mark.parametrize("run", [lambda spark: C.classify(_media(spark), groups=False)])
+def test_rows_are_written_before_their_labels_are_ranked(spark, monkeypatch, run):
+    written, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: written.append(df.columns) or keep(self, df))
+    monkeypatch.setattr(scan_queries, "media", lambda spark, d: _media(spark))
+    run(spark)
+    assert "prio" not in written[0] and written[1] == ["source_label", "prio"]
