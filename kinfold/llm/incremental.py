@@ -357,6 +357,8 @@ def found_repeats(history_rows: DataFrame, incoming: DataFrame, radius: int = 6,
         done = admit(own if last else own.where(F.col("id") < batches[i + 1][0]), history, size)
         if not last:
             history.append(done.where(F.col("accepted_id").isNull()).select("id", "dg", "ph"))
+        # Else the driver's heap grows to its limit over what ended batches broadcast and planned.
+        scratch.settle()
         found = done.where(F.col("accepted_id").isNotNull()).select("accepted_id", "id")
         out = found if out is None else out.unionByName(found)
     return out

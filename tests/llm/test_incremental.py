@@ -158,3 +158,11 @@ def test_empty_tables(spark):
     assert found_repeats(some, none).collect() == []
     assert [tuple(r) for r in found_repeats(none, some).collect()] == [(1, 2)]
     assert found_repeats(none, none).collect() == []
+
+
+def test_the_driver_lets_go_of_each_batch(spark, monkeypatch):
+    settled, settle = [], Scratch.settle
+    monkeypatch.setattr(Scratch, "settle", lambda self: settled.append(self) or settle(self))
+    frame = spark.createDataFrame([(i, i // 10, digest(i % 25), None) for i in range(30)], "id long, batch_no int, source_hash string, phash string")
+    assert sorted(map(tuple, found_repeats(frame.where("false"), frame).collect())) == [(i - 25, i) for i in range(25, 30)]
+    assert len(settled) == 3
