@@ -74,7 +74,11 @@ def has_unsafe_name(path: Column) -> Column:
 
 def name_parts(path: Column) -> dict[str, Column]:
     """base_stem, number, is_edited, clean_stem: a number in brackets at the end is a copy's, the first edited ending that fits is cut."""
-    whole = stem(path)
+    return stem_parts(stem(path))
+
+
+def stem_parts(whole: Column) -> dict[str, Column]:
+    """`name_parts` of a name without its extension. Each use of a part repeats the search in `whole`, so that should be a column, not an expression."""
     number = F.regexp_extract(whole, r"^(?s:.*)\((\d+)\)$", 1)
     base = F.when(number != "", F.regexp_replace(whole, r"\(\d+\)$", "")).otherwise(whole)
     clean, edited = base, F.lit(False)

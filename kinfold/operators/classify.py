@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashes import bits_apart
 from ..functions.labels import colour_distance, hamming, hex_hash
-from ..functions.paths import basename, name_parts, parent
+from ..functions.paths import basename, parent, stem, stem_parts
 from ..runtime import Scratch
 from .components import components
 from .similarity import hash_value_pairs, similar_pairs
@@ -220,9 +220,11 @@ def stem_pairs(rows: DataFrame, t: Thresholds, name: str = "path") -> DataFrame:
 
     Left out if both have a hash and these are further apart than the threshold.
     """
-    parts = name_parts(F.col("path"))
-    named = rows.select(F.col(name).alias("src"), hex_hash(F.col("phash")).alias("p"), parent(F.col("path")).alias("dir"), *[c.alias(n) for n, c in parts.items()]).where("not is_edited")
-    a = named.select("dir", F.col("clean_stem").alias("s"), F.coalesce("number", F.lit(-1)).alias("n"), "src", "p")
+    parts = stem_parts(F.col("whole"))
+    cut = F.struct("dir", parts["base_stem"].alias("s"), F.coalesce(parts["number"], F.lit(-1)).alias("n"), parts["is_edited"].alias("edited"))
+    named = rows.select(F.col(name).alias("src"), hex_hash(F.col("phash")).alias("p"), parent(F.col("path")).alias("dir"), stem(F.col("path")).alias("whole"))
+    # As the only element of an array, what was cut is there once; filters and join keys would else be moved down and cut names again. Unedited names are clean.
+    a = named.select("src", "p", F.explode(F.array(cut)).alias("cut")).select("src", "p", "cut.*").where("not edited").drop("edited")
     b = a.withColumnsRenamed({"src": "dst", "p": "q"})
     met = a.join(b, ["dir", "s", "n"]).where("src < dst")
     return met.where(F.coalesce(bits_apart(F.col("p"), F.col("q")) <= t.hamming, F.lit(True))).select("src", "dst")

@@ -107,3 +107,12 @@ def test_rows_are_written_before_their_labels_are_ranked(spark, monkeypatch, run
     monkeypatch.setattr(scan_queries, "media", lambda spark, d: _media(spark))
     run(spark)
     assert "prio" not in written[0] and written[1] == ["source_label", "prio"]
+
+
+def test_names_are_cut_once_a_row(spark, tmp_path):
+    names = ["/d/a.jpg", "/d/a.mov", "/d/a(1).jpg", "/d/a(1).mov", "/d/a-edited.jpg", "/d/a-edited(2).mov", "/d/b(2).gif", "/d/b(02).png", "/e/a.jpg", "c.jpg", "c.mov", "/d/.x", "/d/.x.jpg", "/d/n(99999999999).jpg", "/d/n.png"]
+    spark.createDataFrame(list(enumerate(names)), "ord long, path string").withColumn("phash", F.lit(None).cast("string")).write.parquet(str(tmp_path / "rows"))
+    pairs = C.stem_pairs(spark.read.parquet(str(tmp_path / "rows")), C.Thresholds(), "ord")
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("regexp_") < 120
+    want = [("/d/a.jpg", "/d/a.mov"), ("/d/a(1).jpg", "/d/a(1).mov"), ("/d/b(2).gif", "/d/b(02).png"), ("c.jpg", "c.mov"), ("/d/.x", "/d/.x.jpg"), ("/d/n(99999999999).jpg", "/d/n.png")]
+    assert sorted((names[r.src], names[r.dst]) for r in pairs.collect()) == sorted(want)
